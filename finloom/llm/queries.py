@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finloom.llm import bpe, leak, lines
+from finloom.llm import bpe, leak, lines, turns
 from finloom.plans.runtime import table
 
 
@@ -19,6 +19,14 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_lines(chunks, lines.repeated_lines(chunks))
 
 
+def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, sf_dir, "chunks"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_turns(spark, sf_dir).select("chunk_key", "turn_no", "speaker_no", "n_words")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
+    "p3_found": p3_found,
+    "p3_turns": p3_turns,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
 }
