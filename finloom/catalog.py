@@ -6,6 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from finloom.operators import name_variants
+from finloom.plans.runtime import table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = None
+
+
+def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@_query
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.link_names(table(spark, sf_dir, "chunks"))
+
+
+@_query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.same_name_pairs(p4_links(spark, sf_dir))

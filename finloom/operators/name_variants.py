@@ -1,0 +1,205 @@
+"""Variant spellings of names typed by people, linked to the one they mean.
+
+Spellings are read into forms (given name, initials, surname, or an organisation's words). The name parts are sharded
+into tries, and in each shard a Levenshtein automaton walks the trie for every part, so that only spellings within one
+edit (a swap of neighbours is one) ever meet. Forms whose parts meet are checked in either order of their parts, and
+each form points to the best more frequent or fuller form that it can be a variant of; following the pointers gives the
+entity.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from finloom.functions.names import FULL, Name, cost, parse
+from finloom.plans.runtime import spread, stored
+
+# Words that an organisation's name may have or lack.
+LOOSE_WORDS = frozenset("the llc llp limited incorporated plc corporation company".split())
+SHORTEST = 4
+
+
+class Automaton:
+    """The nondeterministic Levenshtein automaton of a word for one edit, its states kept as bits."""
+
+    def __init__(self, word: str):
+        self.n, self.mask = len(word), {}
+        for i, c in enumerate(word):
+            self.mask[c] = self.mask.get(c, 0) | 1 << i
+        self.accept = 1 << self.n
+
+    def start(self) -> tuple[int, int, int]:
+        return 1, 0b11, 0
+
+    def step(self, state: tuple[int, int, int], c: str) -> tuple[int, int, int]:
+        """exact: positions reached without an edit; once: with one; swap: in the middle of a swap."""
+        exact, once, swap = state
+        m = self.mask.get(c, 0)
+        e = (exact & m) << 1
+        o = (once & m) << 1 | exact | exact << 1 | e << 1 | (swap & m) << 2
+        return e, o & (self.accept << 1) - 1, exact & m >> 1
+
+    def dead(self, state: tuple[int, int, int]) -> bool:
+        return not any(state)
+
+    def edits(self, state: tuple[int, int, int]) -> int:
+        return 0 if state[0] & self.accept else 1 if state[1] & self.accept else 2
+
+
+def trie_neighbours(words: list[str]) -> Iterator[tuple[str, str]]:
+    """Ordered pairs of different words within one edit, by walking one trie with every word's automaton."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = w
+    for w in words:
+        a = Automaton(w)
+        todo = [(root, a.start())]
+        while todo:
+            node, state = todo.pop()
+            for c, child in node.items():
+                if c == "":
+                    if child != w and a.edits(state) == 1:
+                        yield w, child
+                elif not a.dead(after := a.step(state, c)):
+                    todo.append((child, after))
+
+
+def shards(word: str) -> list[str]:
+    """Keys of which two words within one edit share at least one: an edit leaves the first or the last part of the
+    shorter word as it is."""
+    out = []
+    for n in (len(word), len(word) - 1):
+        p = max(1, (n - 1) // 2)
+        out += [f"{n}<{word[:p]}", f"{n}>{word[len(word) - p :]}"]
+    return out
+
+
+def neighbours(words: DataFrame) -> DataFrame:
+    """(word, near): all ordered pairs of different words of ``words.word`` within one edit, one trie a shard."""
+
+    @F.udf("array<string>")
+    def keys(w):
+        return shards(w)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(trie_neighbours(sorted(set(rows["word"])))), columns=["word", "near"])
+
+    sharded = words.filter(F.length("word") >= SHORTEST).select("word", F.explode(keys("word")).alias("shard"))
+    return sharded.groupBy("shard").applyInPandas(run, "word string, near string").distinct()
+
+
+def _firm(words: tuple[str, ...]) -> str:
+    kept = sorted(w for w in words if w not in LOOSE_WORDS)
+    return " ".join(kept or sorted(words))
+
+
+def read_names(values: DataFrame, col: str) -> DataFrame:
+    """``values`` with ``given``, ``initials``, ``surname`` and ``firm`` of its spellings; all null without letters."""
+
+    @F.pandas_udf("given string, initials string, surname string, firm string")
+    def read(s: pd.Series) -> pd.DataFrame:
+        got = [parse(x) if x is not None else None for x in s]
+        return pd.DataFrame([(None,) * 4 if n is None else (n.given, n.initials, n.surname, _firm(n.firm)) for n in got], columns=["given", "initials", "surname", "firm"])
+
+    return values.withColumn("_n", read(col)).select(*values.columns, "_n.given", "_n.initials", "_n.surname", "_n.firm")
+
+
+def _turned(forms: DataFrame) -> DataFrame:
+    """Forms in the order given name, surname: where the last part is mostly others' given name and the first is not,
+    the two were typed in the other order."""
+    both = forms.filter("given <> ''")
+    seen = both.select(F.col("given").alias("w"), F.col("n").alias("g"), F.lit(0).alias("s")).unionByName(both.select(F.col("surname").alias("w"), F.lit(0).alias("g"), F.col("n").alias("s")))
+    given = seen.groupBy("w").agg(((F.sum("g") - F.sum("s")) / (F.sum("g") + F.sum("s"))).alias("bias"))
+    a, b = given.select(F.col("w").alias("given"), F.col("bias").alias("bg")), given.select(F.col("w").alias("surname"), F.col("bias").alias("bs"))
+    swap = (F.col("given") != "") & (F.col("bs") > 0.5) & (F.col("bg") < 0)
+    return (
+        forms.join(a, "given", "left")
+        .join(b, "surname", "left")
+        .select(
+            *[c for c in forms.columns if c not in ("given", "surname", "initials")],
+            F.when(swap, F.col("surname")).otherwise(F.col("given")).alias("given"),
+            F.when(swap, F.col("given")).otherwise(F.col("surname")).alias("surname"),
+            F.when(swap, F.concat(F.left("surname", F.lit(1)), F.substring("initials", 2, 99))).otherwise(F.col("initials")).alias("initials"),
+        )
+    )
+
+
+def link_names(table: DataFrame, col: str = "speaker") -> DataFrame:
+    """One row per different non-null spelling in ``col``, exactly as written: ``name``, ``entity`` (the most frequent
+    spelling of whom it names), ``n_rows`` (its rows) and ``n_variants`` (spellings of the entity, itself included).
+
+    Blank spellings and those without letters are entities of their own. Repeated rows only count; ties are broken by
+    spelling; further columns are ignored; an empty table gives an empty result. Only distinct spellings are shuffled,
+    after a partial count. A spelling that could mean several (a lone surname that two people bear) stays alone.
+    """
+    values = stored(read_names(spread(table.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("name")).agg(F.count(F.lit(1)).alias("n"))), "name"), "names")
+    key = F.concat_ws("|", "given", "initials", "surname", "firm")
+    forms = values.filter("surname is not null").groupBy("given", "initials", "surname", "firm").agg(F.sum("n").alias("n")).withColumn("typed", key)
+    forms = stored(_turned(forms).withColumn("id", key), "forms")
+    merged = forms.groupBy("id", "given", "initials", "surname", "firm").agg(F.sum("n").alias("n"))
+
+    # Parts that meet in a trie, every part meeting itself.
+    parts = merged.select(F.explode(F.array("surname", F.array_join(F.slice(F.split("firm", " "), 1, 99), " "))).alias("word")).filter("word <> ''").distinct()
+    near = neighbours(parts)
+    near = stored(near.unionByName(parts.select("word", F.col("word").alias("near"))), "near")
+
+    @F.udf("array<string>")
+    def blocks(given, initials, surname, firm):
+        """Beside the surname (or the firm's words): initials of what the given name may stand for, and its inside."""
+        if firm:
+            return ["*"]
+        if not given:
+            return [initials[:1]] if initials else []
+        return sorted({f[0] for f in FULL.get(given, {given})} | {given[0]} | ({given[1:4]} if len(given) > 3 else set()))
+
+    body = F.when(F.col("firm") != "", F.col("firm")).otherwise(F.col("surname"))
+    blocked = stored(merged.withColumn("word", body).withColumn("block", F.explode(blocks("given", "initials", "surname", "firm"))), "blocked")
+    other = blocked.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "given", "initials", "surname", "firm", "n")], F.col("word").alias("near"), "block")
+
+    @F.pandas_udf("double")
+    def apart(g: pd.Series, i: pd.Series, s: pd.Series, f: pd.Series, g2: pd.Series, i2: pd.Series, s2: pd.Series, f2: pd.Series) -> pd.Series:
+        out = []
+        for a, b, c, d, e, h, k, m in zip(g, i, s, f, g2, i2, s2, f2, strict=True):
+            out.append((0.0 if d == m else 0.5) if d and m else 9.0 if d or m else cost(Name(a, b, c), Name(e, h, k)))
+        return pd.Series(out, dtype="float64")
+
+    # A better form is fuller (a full given name before initials before a lone surname) or as full and more frequent.
+    full = lambda p: F.when(F.col(f"{p}given") != "", 2).when(F.col(f"{p}firm") != "", 2).when(F.col(f"{p}initials") != "", 1).otherwise(0)
+    better = (full("b_") > full("")) | ((full("b_") == full("")) & ((F.col("b_n") > F.col("n")) | ((F.col("b_n") == F.col("n")) & (F.col("b_id") < F.col("id")))))
+    pairs = blocked.join(near, "word").join(other, ["near", "block"]).filter((F.col("id") != F.col("b_id")) & better).dropDuplicates(["id", "b_id"])
+    pairs = pairs.withColumn("cost", apart("given", "initials", "surname", "firm", "b_given", "b_initials", "b_surname", "b_firm")).filter("cost < 5")
+    best = pairs.groupBy("id").agg(F.min_by("b_id", F.struct("cost", -F.col("b_n"), "b_id")).alias("up"))
+    tree = stored(merged.join(best, "id", "left").select("id", "n", "given", "initials", "surname", "firm", F.coalesce("up", "id").alias("up")), "tree")
+    # Follow the pointers; each round doubles their reach.
+    while True:
+        step = tree.join(tree.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up").select(*[c for c in tree.columns if c != "up"], F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved"))
+        step = stored(step, "tree")
+        tree = step.drop("moved")
+        if not step.filter("moved").limit(1).count():
+            break
+    # A lone surname belongs to its bearer where there is only one.
+    lone = tree.filter("firm = '' and initials = ''")
+    roots = tree.filter("firm = '' and initials <> '' and id = up").select(F.col("surname").alias("near"), F.col("id").alias("root"))
+    bearer = lone.join(near, lone["surname"] == near["word"]).join(roots, "near").withColumn("same", F.col("near") == F.col("word"))
+    bearer = bearer.groupBy("id").agg(F.min(F.when(F.col("same"), F.col("root"))).alias("r1"), F.max(F.when(F.col("same"), F.col("root"))).alias("r2"), F.min("root").alias("q1"), F.max("root").alias("q2"))
+    bearer = bearer.select("id", F.when(F.col("r1") == F.col("r2"), F.col("r1")).when(F.col("r1").isNull() & (F.col("q1") == F.col("q2")), F.col("q1")).alias("root"))
+    tree = tree.join(bearer, "id", "left").select("id", F.coalesce("root", "up").alias("root"))
+
+    of = forms.select("typed", "id").join(tree, "id").select("typed", "root")
+    named = values.withColumn("typed", F.when(F.col("surname").isNull(), F.concat(F.lit("\u0000"), "name")).otherwise(key)).join(of, "typed", "left").select("name", "n", F.coalesce("root", "typed").alias("root"))
+    named = stored(named, "named")
+    heads = named.groupBy("root").agg(F.max_by("name", F.struct("n", "name")).alias("entity"), F.count(F.lit(1)).alias("n_variants"))
+    return named.join(heads, "root").select("name", "entity", F.col("n").alias("n_rows"), "n_variants")
+
+
+def same_name_pairs(links: DataFrame) -> DataFrame:
+    """(speaker_a, speaker_b): all pairs of spellings of one entity, the smaller by code point first."""
+    a, b = links.select(F.col("name").alias("speaker_a"), "entity"), links.select(F.col("name").alias("speaker_b"), "entity")
+    return a.join(b, "entity").filter("speaker_a < speaker_b").select("speaker_a", "speaker_b")
