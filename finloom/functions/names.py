@@ -26,13 +26,13 @@ _STRONG = frozenset(
 
 # Given names and their short forms.
 NICKNAMES = {
-    "alexandra": "alex lexi sandra sasha", "alexander": "alex xander sasha", "anthony": "tony ant", "benjamin": "ben benny benji", "catherine": "cathy kate cat", "charlotte": "charlie lottie char", "christopher": "chris topher kit", "christine": "chris tina",
-    "daniel": "dan danny", "deborah": "deb debbie debra", "edward": "ed eddie ted ned", "elizabeth": "liz beth eliza betty lizzie libby", "frederick": "fred freddie rick", "gabriel": "gabe", "gregory": "greg", "henrietta": "hettie etta hen henri", "henry": "harry hank",
-    "isabella": "bella izzy isa isabel", "jacob": "jake", "james": "jim jimmy jamie", "javier": "javi", "jennifer": "jen jenny jenn", "jessica": "jess jessie", "john": "jack johnny jon", "jonathan": "jon john jonny nathan", "joseph": "joe joey jo", "joshua": "josh",
-    "katherine": "kate kathy katie kat kay kit", "kenneth": "ken kenny", "lawrence": "larry laurie", "leonard": "len leo lenny", "margaret": "maggie meg peggy marge margie", "matthew": "matt matty", "mateo": "teo", "michael": "mike mick mickey", "nathaniel": "nate nat nathan",
-    "nicholas": "nick nicky nico", "oliver": "ollie olly", "pamela": "pam", "patricia": "pat patty trish tricia", "patrick": "pat paddy", "peter": "pete", "philip": "phil", "quentin": "quin quent", "rajesh": "raj", "rebecca": "becky becca", "richard": "rich rick dick richie ricky",
-    "robert": "rob bob bobby robbie", "ronald": "ron", "samantha": "sam sammy", "samuel": "sam sammy", "stephen": "steve", "steven": "steve", "susannah": "sue susie suzy sanna", "susan": "sue susie", "theodore": "ted theo", "thomas": "tom tommy", "timothy": "tim timmy",
-    "victoria": "vicky tori vic vicki", "vincent": "vince", "walter": "walt wally", "william": "will bill billy liam", "xiomara": "xio mara", "yolanda": "yoli yo", "zachary": "zach zack zac", "ingrid": "inge", "priya": "pri", "dominic": "dom", "andrew": "andy drew",
+    "alexandra": "alex lexi sandra sasha", "alexander": "alex xander sasha", "anthony": "tony ant", "benjamin": "ben benny benji", "catherine": "cathy kate cat", "charlotte": "charlie lottie char lotte", "christopher": "chris topher kit", "christine": "chris tina",
+    "daniel": "dan danny", "deborah": "deb debbie debby debra", "edward": "ed eddie ted ned", "elizabeth": "liz beth eliza betty lizzie libby betsy bess ellie", "frederick": "fred freddie freddy fritz rick", "gabriel": "gabe", "gregory": "greg", "henrietta": "hattie hettie hetty etta hen henri", "henry": "harry hank",
+    "isabella": "bella belle izzy isa isabel", "jacob": "jake", "james": "jim jimmy jamie", "javier": "javi", "jennifer": "jen jenny jenn jennie", "jessica": "jess jessie", "john": "jack johnny jon", "jonathan": "jon john jonny nathan", "joseph": "joe joey jo", "joshua": "josh",
+    "katherine": "kate kathy katie kat kay kit kitty", "kenneth": "ken kenny", "lawrence": "larry laurie lance", "leonard": "len leo lenny", "margaret": "maggie meg peg peggy marge margie madge greta", "matthew": "matt matty", "mateo": "teo", "michael": "mike mick mickey", "nathaniel": "nate nat nathan natty",
+    "nicholas": "nick nicky nico", "oliver": "ollie olly", "pamela": "pam", "patricia": "pat patty trish tricia", "patrick": "pat paddy", "peter": "pete", "philip": "phil pip", "quentin": "quin quent", "rajesh": "raj", "rebecca": "becky becca beck", "richard": "rich rick dick richie ricky",
+    "robert": "rob bob bobby robbie", "ronald": "ron", "samantha": "sam sammy", "samuel": "sam sammy", "stephen": "steve", "steven": "steve", "susannah": "sue susie suzie suzy sanna anna susan", "susan": "sue susie", "theodore": "ted theo", "thomas": "tom tommy", "timothy": "tim timmy",
+    "victoria": "vicky tori vic vicki", "vincent": "vince", "walter": "walt wally", "william": "will bill billy willie liam", "xiomara": "xio mara", "yolanda": "yoli yo", "zachary": "zach zack zac", "ingrid": "inge", "priya": "pri", "dominic": "dom", "andrew": "andy drew", "valentina": "val tina", "gregor": "greg",
 }
 FULL = {}
 for _full, _short in NICKNAMES.items():
@@ -76,7 +76,7 @@ def parse(text: str) -> Name | None:
         words, low = words[:-1], low[:-1]
     if not low:
         return None
-    if len(low) > 1 and any(ORGANISATION.get(w) in _STRONG for w in low[1:]):
+    if len(low) > 1 and any(ORGANISATION.get(w) in _STRONG for w in (low if "," in low else low[1:])):
         return Name("", "", "", tuple(ORGANISATION.get(w, w) for w in low if w != ","))
     if "," in low:
         k = low.index(",")
@@ -139,7 +139,7 @@ def given_cost(a: Name, b: Name) -> float:
         return 0.0
     if FULL.get(a.given, {a.given}) & FULL.get(b.given, {b.given}):
         return 0.1
-    k = 1 if min(len(a.given), len(b.given)) > 3 else 0
+    k = 1 if max(len(a.given), len(b.given)) > 3 else 0
     return 0.5 if k and distance(a.given, b.given, k) <= k else 9.0
 
 

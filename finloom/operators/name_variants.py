@@ -157,7 +157,7 @@ def link_names(table: DataFrame, col: str = "speaker") -> DataFrame:
             return ["*"]
         if not given:
             return [initials[:1]] if initials else []
-        return sorted({f[0] for f in FULL.get(given, {given})} | {given[0]} | ({given[1:4]} if len(given) > 3 else set()))
+        return sorted({f[0] for f in FULL.get(given, {given})} | {given[0]} | ({given[1:4], given[-2:]} if len(given) > 2 else set()))
 
     body = F.when(F.col("firm") != "", F.col("firm")).otherwise(F.col("surname"))
     blocked = stored(merged.withColumn("word", body).withColumn("block", F.explode(blocks("given", "initials", "surname", "firm"))), "blocked")
