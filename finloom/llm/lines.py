@@ -20,8 +20,8 @@ from finloom.plans.runtime import small, stored
 LEAST_ROWS, LEAST_SHARE, LEAST_LETTERS = 5, 0.03, 12
 _END = 20
 
-# Names of months and days as they are written in dates.
-DATES = r"\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|(?:mon|tues|wednes|thurs|fri|satur|sun)day)\b"
+# Names of months and days as they are written in dates (by first letters, which Java matches faster).
+DATES = r"(?:j(?:an(?:uary)?|une?|uly?)|feb(?:ruary)?|ma(?:r(?:ch)?|y)|a(?:pr(?:il)?|ug(?:ust)?)|s(?:ept?(?:ember)?|aturday|unday)|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|monday|t(?:ues|hurs)day|wednesday|friday)"
 _LONG_MONTHS = ("january", "february", "september", "october", "november", "december", "august", "april", "march", "june", "july")
 
 #: A line that somebody says: a label of a role or of two to four capitalised name parts, or a label with nothing but notes.
@@ -37,7 +37,7 @@ SPOKEN = (
 
 def line_key(line: Column) -> Column:
     """Letters of the line in lower case, dates left out."""
-    return F.regexp_replace(F.regexp_replace(F.lower(line), DATES, ""), r"[^\p{L}]+", "")
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(line)), rf"[^\p{{L}}]+(?:{DATES}(?:[^\p{{L}}]+|$))*", "")
 
 
 def _halves(source: Column, key: Column, ends: bool) -> Column:
