@@ -60,7 +60,7 @@ def plain(text: str) -> str:
 _AFFILIATION = re.compile(r"\s*(?:\(.*?\)?|\s[-–—]{1,2}\s.*|\[.*?\]?)\s*$")
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def parse(text: str) -> Name | None:
     """A typed name's parts; None where it has no letters. Affiliations, titles, degrees and case are left out,
     "Last, First" is turned round, and words of organisations are written in full."""
