@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finloom.llm import bpe, leak, lines, turns
+from finloom.llm import bpe, leak, lines, spam, turns
 from finloom.plans.runtime import table
 
 
@@ -35,6 +35,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_questions"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.stuffed_pages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_turns": p3_turns,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p8_found": p8_found,
 }
 
 #: None of these can be put in SQL; they are tested against brute force, a round trip or an independent encoder.
