@@ -81,15 +81,18 @@ def repeated_lines(docs: DataFrame, source: str = "ticker", row: str = "chunk_ke
         base.groupBy("src").agg(F.count(F.lit(1)).alias("n")).select("src", F.xxhash64("src").alias("h"), F.greatest(F.lit(least_rows), F.ceil(F.col("n") * least_share - 1e-9)).alias("least"))
     )
     least = small(stored(least, "least"))
-    lines = base.select("src", "rid", F.posexplode(F.split("txt", "\n")).alias("i", "line")).select("src", "rid", "i", "line", line_key(F.col("line")).alias("key")).filter(F.length("key") >= least_letters)
+    # The keys of all lines are computed once and kept; of a line that may begin with a label, its beginning too.
+    marked = F.when((F.locate(":", F.col("line")) > 0) | (F.locate("--", F.col("line")) > 0) | F.ltrim("line").substr(1, 1).isin("<", "["), F.left("line", F.lit(110)))
+    lines = base.select("src", "rid", F.posexplode(F.split("txt", "\n")).alias("i", "line")).select("src", "rid", "i", marked.alias("head"), line_key(F.col("line")).alias("key")).filter(F.length("key") >= least_letters)
+    lines = stored(lines, "keys")
 
     halves = lines.select(F.xxhash64("src").alias("h"), F.explode(_halves(F.col("src"), F.col("key"), True)).alias("half"))
     heavy = halves.groupBy("h", "half").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 2 >= least_rows).join(least, "h").filter(F.col("n") * 2 >= F.col("least")).select("half").distinct()
     heavy = small(stored(heavy, "halves"))
     left = (
-        lines.select("src", "rid", "i", "key", "line", F.explode(_halves(F.col("src"), F.col("key"), True)).alias("half"))
+        lines.withColumn("half", F.explode(_halves(F.col("src"), F.col("key"), True)))
         .join(heavy, "half", "left_semi")
-        .filter(~F.col("line").rlike(SPOKEN))
+        .filter(F.col("head").isNull() | ~F.col("head").rlike(SPOKEN))
         .select("src", "rid", "i", "key")
         .distinct()
     )

@@ -47,7 +47,7 @@ class Counted(dict):
     """Whether a white-space-separated piece counts as a word."""
 
     def __missing__(self, piece: str) -> bool:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         ok = False
         if _HAS.search(piece):
@@ -208,7 +208,9 @@ def speaker_turns(chunks: DataFrame, lines: DataFrame | None = None, row: str =
     if lines is None:
         lines = repeated_lines(chunks, row=row)
     gone = lines.groupBy(row).agg(F.collect_set("line_no").alias("_gone"))
-    rows = qa.select(row, "doc_id", "text", "speaker", "speaker_role", "phase").join(gone, row, "left").join(roster(chunks), "doc_id", "left")
+    # The narrow columns meet first, so that the texts move once and are not sorted.
+    info = qa.select(row, "doc_id").join(roster(chunks), "doc_id", "left").join(gone, row, "left").drop("doc_id")
+    rows = qa.select(row, "text", "speaker", "speaker_role", "phase").join(info.hint("shuffle_hash"), row)
     kind = f"{row} {chunks.schema[row].dataType.simpleString()}, turn_no int, speaker_no int, n_words int, speaker string, speaker_role string, phase string, text string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
