@@ -143,6 +143,7 @@ def given_cost(a: Name, b: Name) -> float:
     return 0.5 if k and distance(a.given, b.given, k) <= k else 9.0
 
 
+@lru_cache(maxsize=50_000)
 def cost(a: Name, b: Name) -> float:
     """How far two names are apart; from 5 on they are different persons."""
     if a.firm or b.firm:
@@ -156,6 +157,7 @@ def cost(a: Name, b: Name) -> float:
     return best
 
 
+@lru_cache(maxsize=20_000)
 def soundex(word: str) -> str:
     """The phonetic block of a word: its first letter and three digits for its consonants."""
     codes = {c: d for d, cs in {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in cs}
