@@ -180,17 +180,29 @@ def display(name: Name) -> str:
 
 
 def clean_names(people: list[Person], roster: list[str]) -> dict[int, str]:
-    """Speaker number to the roster's spelling, assigned one to one at least cost; without one, the fullest own name."""
+    """Speaker number to the roster's spelling, assigned one to one at least cost; without one, the fullest own name.
+
+    Who bears a roster's name to the letter costs nothing and has it; the assignment is over the others and the rest of
+    the roster in their phonetic blocks."""
     people = [p for p in dict.fromkeys(people) if p.names]
-    refs = [n for n in map(parse, roster) if n]
-    blocks = {soundex(x) for p in people for n in p.names for x in (n.surname, n.given)}
-    refs = [r for r in refs if soundex(r.surname) in blocks or r.firm]
     own = {p.no: display(min(p.names, key=lambda n: (not (n.given or n.firm), len(n.surname)))) for p in people}
-    if people and refs:
-        costs = [[min(_same(p, r), 5.0) for r in refs] + [5.0] * len(people) for p in people]
-        for p, j in zip(people, assign(costs), strict=True):
-            if j < len(refs) and costs[people.index(p)][j] < 5:
-                own[p.no] = display(refs[j])
+    refs = dict.fromkeys(n for n in map(parse, roster) if n)
+    exact = {(r.given, r.surname, r.firm): r for r in refs}
+    rest = []
+    for p in people:
+        r = next((exact[k] for n in p.names if (k := (n.given, n.surname, n.firm)) in exact), None)
+        if r is None:
+            rest.append(p)
+        else:
+            own[p.no] = display(r)
+            refs.pop(r, None)
+    if rest and refs:
+        blocks = {soundex(x) for p in rest for n in p.names for x in (n.surname, n.given)}
+        free = [r for r in refs if r.firm or soundex(r.surname) in blocks]
+        costs = [[min(_same(p, r), 5.0) for r in free] + [5.0] * len(rest) for p in rest]
+        for p, row, j in zip(rest, costs, assign(costs) if free else [0] * len(rest), strict=True):
+            if free and j < len(free) and row[j] < 5:
+                own[p.no] = display(free[j])
     return own
 
 
