@@ -2,36 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finloom.functions.text import token_count
 from finloom.operators import name_variants, packing, splitting
 from finloom.plans.runtime import table
+from finloom.queries import QUERIES, SQL, query
+from finloom.queries import records as _records  # noqa: F401
+from finloom.queries import retrieval
+from finloom.queries import text as _text  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = None
-
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
 
-def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+FLAGSHIP = retrieval.hybrid_topk
 
 
-@_query
+@query()
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.link_names(table(spark, sf_dir, "chunks"))
 
 
-@_query
+@query()
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.same_name_pairs(p4_links(spark, sf_dir))
 
 
-@_query
+@query()
 def p2_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk_id once (its latest row), sized by its true token count, packed per ticker and chunk_type."""
     rows = table(spark, sf_dir, "chunks").select("chunk_id", "ticker", "chunk_type", "source_units", "chunked_at", "chunk_key", token_count("text").cast("int").alias("n_tokens"))
@@ -40,11 +37,11 @@ def p2_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("ticker", "chunk_type", "container_no", "chunk_id", "piece_no", "piece_size", "n_tokens", "source_units")
 
 
-@_query
+@query()
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "chunks"))
 
 
-@_query
+@query()
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).select("chunk_key").distinct()

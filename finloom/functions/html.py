@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements whose content is no text of the page, elements that end a line, and void elements.
 DROPPED = frozenset("script style nav header footer noscript template ix:header ix:hidden".split())
@@ -114,12 +115,12 @@ def to_text(page: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(to_text, na_action="ignore")
 
 
-@F.pandas_udf("array<array<array<string>>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))))
 def html_tables(pages: pd.Series) -> pd.Series:
     """Tables of a page as rows of cells; those of fewer than two rows or columns are left out."""
     return pages.map(lambda p: [t for t in read(p).tables if len(t) > 1 and max(map(len, t)) > 1] if p else [])
