@@ -54,8 +54,8 @@ def adjust(base: Column, rules: list[tuple[Column, Column]]) -> Column:
 def parse_score(text: str | Column) -> Column:
     """The first number of a model's answer, clamped to 0..1; 0.5 where there is none."""
     col = F.col(text) if isinstance(text, str) else text
-    number = F.regexp_extract(col, r"(\d+\.?\d*)", 1)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nullif(number, F.lit("")).cast("double"))), F.lit(0.5))
+    number = F.nullif(F.regexp_extract(col, r"(\d+\.?\d*)", 1), F.lit("")).cast("double")
+    return F.when(number.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def parse_scores(text: str | Column, n: int | Column) -> Column:

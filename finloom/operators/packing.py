@@ -58,14 +58,16 @@ def pack_items(items: DataFrame, group: list[str], item: str, size: str, capacit
     ``item`` must be unique. An item larger than the capacity, and no other, is cut: into full containers and a rest
     that is packed like an item. Null, zero and negative sizes count as 0 and go to the group's first container. Null
     group values form groups of their own. The order of equal sizes is that of a hash of ``item``; extra columns are
-    kept. Per group both placing rules are tried on the histogram and the one with fewer containers stands,
+    kept, whatever their names (but for those three, which are written anew). Per group both placing rules are tried on the histogram and the one with fewer containers stands,
     shortest-pack-first where they tie.
     """
     gs = [f"_g{i}" for i in range(len(group))]
-    base = items.withColumns({"_size": F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("int"), **{g: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for g, c in zip(gs, group, strict=True)}})
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    row = F.struct(*[F.col(c) for c in items.columns if c not in ("piece_no", "piece_size", "container_no")])
+    base = items.select(row.alias("_row"), F.col(item).alias("_item"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("int").alias("_size"), *[text(c).alias(g) for g, c in zip(gs, group, strict=True)])
     full = F.floor(F.greatest(F.col("_size") - 1, F.lit(0)) / capacity).cast("int")
     cuts = F.transform(F.sequence(F.lit(0), full), lambda k: F.struct((k + 1).cast("int").alias("no"), F.least(F.lit(capacity), F.col("_size") - k * capacity).cast("int").alias("size")))
-    pieces = base.withColumn("_p", F.explode(cuts)).withColumns({"piece_no": F.col("_p.no"), "piece_size": F.col("_p.size"), "_salt": F.pmod(F.xxhash64(F.col(item).cast("string"), F.col("_p.no")), F.lit(SALTS)).cast("int")}).drop("_p", "_size")
+    pieces = base.withColumn("_p", F.explode(cuts)).withColumns({"piece_no": F.col("_p.no"), "piece_size": F.col("_p.size"), "_salt": F.pmod(F.xxhash64(F.col("_item").cast("string"), F.col("_p.no")), F.lit(SALTS)).cast("int")}).drop("_p", "_size")
 
     count = pieces.groupBy(*gs, "piece_size", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     lengths = count.filter("piece_size > 0").groupBy(*gs, "piece_size").agg(F.sum("_n").alias("_n"))
@@ -87,6 +89,6 @@ def pack_items(items: DataFrame, group: list[str], item: str, size: str, capacit
 
     # A rank without one long sort: the number of the item in its salt after the items of the salts before it.
     before = count.withColumn("_before", F.sum("_n").over(Window.partitionBy(*gs, "piece_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).select(*gs, "piece_size", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
-    ranked = pieces.withColumn("_no", F.row_number().over(Window.partitionBy(*gs, "piece_size", "_salt").orderBy(F.col(item), F.col("piece_no"))))
+    ranked = pieces.withColumn("_no", F.row_number().over(Window.partitionBy(*gs, "piece_size", "_salt").orderBy("_item", "piece_no")))
     ranked = ranked.join(before, [*gs, "piece_size", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_no") - 1)
-    return ranked.join(slots, [*gs, "piece_size", "_rank"], "left").withColumn("container_no", F.coalesce("container_no", F.lit(1).cast("bigint"))).drop(*gs, "_salt", "_before", "_no", "_rank")
+    return ranked.join(slots, [*gs, "piece_size", "_rank"], "left").select("_row.*", "piece_no", "piece_size", F.coalesce("container_no", F.lit(1).cast("bigint")).alias("container_no"))

@@ -41,15 +41,27 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, statistics are exact and
     the loss of an executor costs nothing that was computed before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``stored`` has written; results that still read them must have been written before."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _WRITTEN:
+        path = hadoop.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count proves that it has at most ``rows`` rows, else as it is (a shuffle join)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -11,6 +11,7 @@ from finloom.operators import analytics, chunking, records, transcripts
 from finloom.plans.runtime import table
 from finloom.queries import query
 from finloom.queries.text import _toks
+from finloom.streaming import ingest
 from finloom.schemas import CHUNK_REQUIRED, CHUNK_TYPES, DOC_TYPES, PHASES, QUARTERS, SPEAKER_ROLES
 
 big = lambda *cs: {c: F.col(c).cast("bigint") for c in cs}
@@ -346,3 +347,17 @@ def table_cells(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("r", "line"))
     cells = lines.withColumn("c", F.split("line", "\\|")).filter(F.size("c") > 2).select("doc_id", "r", F.posexplode("c").alias("k", "cell"))
     return cells.select("doc_id", (F.col("r") + 1).cast("bigint").alias("row_no"), (F.col("k") + 1).cast("bigint").alias("col_no"), F.trim("cell").alias("cell"))
+
+
+@query("SELECT time_bucket(INTERVAL 6 hours, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Tumbling windows; the same function serves a stream."""
+    out = ingest.windowed_counts(table(spark, d, "events"), "ts", "6 hours", "1 day", "event_type")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+  SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 hours THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    out = ingest.session_counts(table(spark, d, "events"), "ts", "2 hours", "1 day", "user_id")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

@@ -216,12 +216,12 @@ def query_intent(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_questions").select("item_id", fusion.query_intent("question").alias("i")).select("item_id", "i.*")
 
 
-@query(r"SELECT item_id, coalesce(greatest(0.0, least(1.0, CAST(nullif(regexp_extract(answer_value, '(\d+\.?\d*)', 1), '') AS DOUBLE))), 0.5) AS score FROM eval_questions")
+@query(r"SELECT item_id, CASE WHEN regexp_matches(answer_value, '\d') THEN greatest(0.0, least(1.0, CAST(regexp_extract(answer_value, '(\d+\.?\d*)', 1) AS DOUBLE))) ELSE 0.5 END AS score FROM eval_questions")
 def parse_score(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_questions").select("item_id", fusion.parse_score("answer_value").alias("score"))
 
 
-@query(r"""SELECT item_id, list_slice(list_transform(regexp_extract_all(coalesce(answer_value, '') || ' [0.25, ' || item_id % 3 || ']', '(\d+\.?\d*)', 1), lambda x: x), 1, 0) AS nothing, list_slice(list_concat(list_transform(regexp_extract_all('0.25, ' || item_id % 3, '(\d+\.?\d*)', 1), lambda x: greatest(0.0, least(1.0, CAST(x AS DOUBLE)))), [0.5, 0.5, 0.5]), 1, 3) AS scores FROM eval_questions""".replace("list_slice(list_transform(regexp_extract_all(coalesce(answer_value, '') || ' [0.25, ' || item_id % 3 || ']', '(\\d+\\.?\\d*)', 1), lambda x: x), 1, 0) AS nothing, ", ""))
+@query(r"""SELECT item_id, list_slice(list_concat(list_transform(regexp_extract_all('0.25, ' || item_id % 3, '(\d+\.?\d*)', 1), lambda x: greatest(0.0, least(1.0, CAST(x AS DOUBLE)))), [0.5, 0.5, 0.5]), 1, 3) AS scores FROM eval_questions""")
 def parse_scores(spark: SparkSession, d: str) -> DataFrame:
     said = F.concat(F.coalesce("answer_value", F.lit("")), F.lit(" [0.25, "), (F.col("item_id") % 3).cast("string"), F.lit("]"))
     return table(spark, d, "eval_questions").select("item_id", fusion.parse_scores(said, 3).alias("scores"))
