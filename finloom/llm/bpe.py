@@ -15,8 +15,11 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finloom.plans.runtime import spread
 
@@ -198,8 +201,6 @@ def encode_corpus(documents: DataFrame, path: str = TOKENIZER, id_col: str = "do
             flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(kind)], names=["_id", ids_col])
 
-    from pyspark.sql import types as T
-
     src = spread(documents.select(documents[id_col].alias("_id"), documents[text_col].alias("_text")))
     schema = T.StructType([T.StructField("_id", documents.schema[id_col].dataType), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     return src.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
@@ -207,9 +208,6 @@ def encode_corpus(documents: DataFrame, path: str = TOKENIZER, id_col: str = "do
 
 def decode_corpus(encoded: DataFrame, path: str = TOKENIZER, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """The texts back from their ids, by the offset table. A null list gives an empty text."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     with open(path, "rb") as f:
         raw = encoded.sparkSession.sparkContext.broadcast(f.read())
 

@@ -75,7 +75,7 @@ def _settle(said: list[list[str]], into: Counter, phrases: Counter) -> None:
     often = len(pairs) < 0.8 * sum(pairs.values())
     for w in said:
         n = sum(map(FUNCTION_WORDS.__contains__, w))
-        back = often and 3 < len(w) <= SHORT and sum(pairs[p] > 2 for p in zip(w, w[1:], strict=False)) >= 0.6 * (len(w) - 1)
+        back = often and 3 < len(w) <= SHORT and n <= 0.34 * len(w) and sum(pairs[p] > 2 for p in zip(w, w[1:], strict=False)) >= 0.6 * (len(w) - 1)
         if back or (len(w) >= 8 and n < 0.06 * len(w)):
             into["run"] += len(w)
             for p in zip(w, w[1:], strict=False):
