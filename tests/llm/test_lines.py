@@ -36,7 +36,7 @@ def test_against_brute_force(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron".split()
     rows, rid = [], 0
     boiler = {"A": ["Share this call with a colleague of yours today", "Date: March 3, 2024 - prepared for all"], "B": ["Subscribers of the desk read transcripts 46 hours earlier"], "C": ["Seldom repeated line of the third source"]}
-    for src, n, rate in (("A", 120, 0.4), ("B", 60, 0.2), ("C", 200, 0.02)):
+    for src, n, rate in (("A", 120, 0.4), ("B", 60, 0.2), ("C", 200, 0.01)):
         for _ in range(n):
             lines = [" ".join(rng.choice(words) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(1, 4))]
             for b in boiler[src]:
