@@ -145,7 +145,7 @@ def page_words(text: str) -> tuple[dict[str, int], dict[str, int]]:
                 sizes = [len(_words(p)) for p in parts]
                 total = sum(sizes)
                 # A list: most words in short parts and hardly a function word, or an offer's marks all over.
-                if total and sum(n for n in sizes if n <= 5) >= 0.8 * total and (few <= 0.12 * total or (marked and total <= 4 * len(parts) and few <= 0.4 * total) or 3 * len(_PRODUCT.findall(line)) >= len(parts)):
+                if total and sum(n for n in sizes if n <= 5) >= 0.8 * total and (few <= 0.12 * total or (total <= 4 * len(parts) and few <= 0.4 * total and any(c in line for c in ">•»·")) or 3 * len(_PRODUCT.findall(line)) >= len(parts)):
                     flush()
                     for p in parts:
                         note("list", _words(p))
