@@ -99,7 +99,9 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
         less = x <= best
         best[less] = x[less]
         at[less] = np.flatnonzero(less) + j
-    return np.unique(at)
+    chosen = np.zeros(n, bool)
+    chosen[at] = True
+    return np.flatnonzero(chosen)
 
 
 class Prints:
@@ -193,19 +195,20 @@ def search(texts: list[str | None], prints: Prints, gram: int, window: int, min_
     doc = np.searchsorted(starts, d, "right") - 1
     # Most meetings are chance phrases: one look along the diagonals near them tells. On either side of the shingle, the
     # equal words on the best of seven diagonals must reach half of what is asked for, less what a difference may hide.
-    pad = np.concatenate([np.zeros(reach, np.int64), *[x for t in prints.texts for x in (t, np.zeros(reach, np.int64))]])
+    pad = np.concatenate([np.zeros(reach, np.int64), *[x for t in prints.texts for x in (t, np.zeros(reach, np.int64))]]).astype(np.int32)
     first = np.cumsum([reach] + [len(t) + reach for t in prints.texts])[:-1]
-    wide = np.concatenate([np.ones(reach + 3, np.int64), ids, np.ones(reach + 3, np.int64)])
+    wide = np.concatenate([np.ones(reach + 3, np.int64), ids, np.ones(reach + 3, np.int64)]).astype(np.int32)
     keep = np.zeros(len(d), bool)
     for b in range(0, len(d), 200_000):
         s = slice(b, b + 200_000)
         x, y = d[s] + reach + 3, first[owner[s]] + i[s]
         total = np.full(len(x), gram)
-        for span in (np.arange(-min_words, 0), np.arange(gram, gram + min_words)):
-            mine = pad[np.clip(y[:, None] + span, 0, len(pad) - 1)]
+        for first_word in (-min_words, gram):
+            mine = pad[np.clip(y[:, None] + np.arange(first_word, first_word + min_words), 0, len(pad) - 1)]
+            near = wide[x[:, None] + np.arange(first_word - 3, first_word + min_words + 3)]
             best = np.zeros(len(x), np.int64)
-            for shift in (-3, -2, -1, 0, 1, 2, 3):
-                best = np.maximum(best, (wide[x[:, None] + span + shift] == mine).sum(1))
+            for shift in range(7):
+                best = np.maximum(best, np.count_nonzero(near[:, shift : shift + min_words] == mine, axis=1))
             total += best
         keep[s] = total >= (2 * min_words) // 3
     out: set[tuple[int, int]] = set()
