@@ -23,6 +23,9 @@ ORGANISATION = {
 _STRONG = frozenset(
     "research group capital partners securities advisory advisors bank markets equity institutional holdings company corporation incorporated limited llc llp plc associates management investments international financial services trust fund strategies systems industries technologies analytics department association".split()
 )
+_LONG_STRONG = frozenset(w for w in _STRONG if len(w) > 6)
+# Words that an organisation's name may have or lack.
+LOOSE_WORDS = frozenset("the llc llp limited incorporated plc corporation company".split())
 
 # Given names and their short forms.
 NICKNAMES = {
@@ -57,7 +60,14 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
 
 
-_AFFILIATION = re.compile(r"\s*(?:\(.*?\)?|\s[-–—]{1,2}\s.*|\[.*?\]?)\s*$")
+def _organisation_word(w: str) -> str | None:
+    """The full form of a word that makes a name an organisation, also with one mistaken letter in a long one."""
+    full = ORGANISATION.get(w)
+    if full in _STRONG:
+        return full
+    if len(w) > 5 and full is None:
+        return next((x for x in _LONG_STRONG if abs(len(x) - len(w)) < 2 and distance(x, w, 1) <= 1), None)
+    return None
 
 
 @lru_cache(maxsize=20_000)
@@ -76,8 +86,9 @@ def parse(text: str) -> Name | None:
         words, low = words[:-1], low[:-1]
     if not low:
         return None
-    if len(low) > 1 and any(ORGANISATION.get(w) in _STRONG for w in (low if "," in low else low[1:])):
-        return Name("", "", "", tuple(ORGANISATION.get(w, w) for w in low if w != ","))
+    if len(low) > 1 and any(_organisation_word(w) for w in (low if "," in low else low[1:])):
+        full = tuple(_organisation_word(w) or ORGANISATION.get(w, w) for w in low if w != ",")
+        return Name("", "", "", tuple(w for w in full if w not in LOOSE_WORDS) or full)
     if "," in low:
         k = low.index(",")
         low, words = low[k + 1 :] + low[:k], words[k + 1 :] + words[:k]
@@ -143,11 +154,26 @@ def given_cost(a: Name, b: Name) -> float:
     return 0.5 if k and distance(a.given, b.given, k) <= k else 9.0
 
 
+def _firm_cost(a: list[str], b: list[str]) -> float:
+    if a == b:
+        return 0.0
+    if len(a) != len(b):
+        return 9.0
+    left = [w for w in a if w not in b]
+    right = [w for w in b if w not in a]
+    return 0.5 if len(left) == len(right) == 1 and min(len(left[0]), len(right[0])) > 3 and distance(left[0], right[0], 1) <= 1 else 9.0
+
+
 @lru_cache(maxsize=50_000)
 def cost(a: Name, b: Name) -> float:
     """How far two names are apart; from 5 on they are different persons."""
+    if a.firm and b.firm:
+        return _firm_cost(sorted(a.firm), sorted(b.firm))
     if a.firm or b.firm:
-        return 0.0 if a.firm == b.firm else 9.0
+        # A lone word may be the organisation's own name.
+        firm, other = (a.firm, b) if a.firm else (b.firm, a)
+        own = [w for w in firm if w not in ORGANISATION]
+        return 0.6 if not other.initials and any(distance(w, other.surname, 1) <= (len(w) > 3) for w in own) else 9.0
     best = 9.0
     for x, y in ((a, b), (a, Name(b.surname, b.surname[:1], b.given)) if b.given else (a, b), (Name(a.surname, a.surname[:1], a.given), b) if a.given else (a, b)):
         k = allowed(min(len(x.surname), len(y.surname)))

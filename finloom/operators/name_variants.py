@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from finloom.functions.names import FULL, Name, cost, parse
 from finloom.plans.runtime import spread, stored
 
-# Words that an organisation's name may have or lack.
-LOOSE_WORDS = frozenset("the llc llp limited incorporated plc corporation company".split())
 SHORTEST = 4
 
 
@@ -95,18 +93,13 @@ def neighbours(words: DataFrame) -> DataFrame:
     return sharded.groupBy("shard").applyInPandas(run, "word string, near string").distinct()
 
 
-def _firm(words: tuple[str, ...]) -> str:
-    kept = sorted(w for w in words if w not in LOOSE_WORDS)
-    return " ".join(kept or sorted(words))
-
-
 def read_names(values: DataFrame, col: str) -> DataFrame:
     """``values`` with ``given``, ``initials``, ``surname`` and ``firm`` of its spellings; all null without letters."""
 
     @F.pandas_udf("given string, initials string, surname string, firm string")
     def read(s: pd.Series) -> pd.DataFrame:
         got = [parse(x) if x is not None else None for x in s]
-        return pd.DataFrame([(None,) * 4 if n is None else (n.given, n.initials, n.surname, _firm(n.firm)) for n in got], columns=["given", "initials", "surname", "firm"])
+        return pd.DataFrame([(None,) * 4 if n is None else (n.given, n.initials, n.surname, " ".join(sorted(n.firm))) for n in got], columns=["given", "initials", "surname", "firm"])
 
     return values.withColumn("_n", read(col)).select(*values.columns, "_n.given", "_n.initials", "_n.surname", "_n.firm")
 
