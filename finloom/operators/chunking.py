@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from finloom.config import ChunkConfig
 from finloom.functions.text import WHITE, token_count
+from finloom.plans.runtime import spread
 
 _SPLIT = "[" + WHITE.replace("\\x85", "\\u0085").replace("\\xa0", "\\u00a0") + "]+"
 
@@ -62,7 +63,7 @@ def window_chunks(df: DataFrame, key: str, text: str, cfg: ChunkConfig = ChunkCo
     """One row a window: ``key``, ``piece``, ``start_token``, ``end_token``, overlaps with its neighbours and the text.
 
     The text is split into tokens once and sliced; overlaps are closed forms, so nothing is shuffled."""
-    base = df.select(key, tokens(text).alias("_t")).withColumn("_w", windows(F.size("_t"), cfg))
+    base = spread(df.select(key, text)).select(key, tokens(text).alias("_t")).withColumn("_w", windows(F.size("_t"), cfg))
     rows = base.select(key, "_t", "_w", F.posexplode("_w").alias("_i", "_s"))
     n = F.size("_w")
     before = F.when(F.col("_i") > 0, F.greatest(F.lit(0), F.try_element_at("_w", F.greatest(F.col("_i"), F.lit(1)))["end"] - F.col("_s.start"))).otherwise(0)

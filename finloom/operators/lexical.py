@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from finloom.functions.text import terms
-from finloom.plans.runtime import small
+from finloom.plans.runtime import small, spread
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 class Index(NamedTuple):
-    """postings(term, doc, tf), lengths(doc, n_terms) and stats(n_docs, avg_terms), one row."""
+    """postings(term, doc, tf, n_terms), n_terms being the document's length; lengths(doc, n_terms); stats(n_docs,
+    avg_terms), one row."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -28,9 +29,9 @@ def build_index(docs: DataFrame, doc: str, *fields: str) -> Index:
     The postings are one explode and one aggregation with map-side counts; write them partitioned or sorted by term to
     look terms up without a scan."""
     words = F.concat(*[terms(f) for f in fields]) if len(fields) > 1 else terms(fields[0])
-    base = docs.select(F.col(doc).alias("doc"), words.alias("w"))
+    base = spread(docs.select(F.col(doc).alias("doc"), *fields)).select("doc", words.alias("w"))
     lengths = base.select("doc", F.size("w").alias("n_terms"))
-    postings = base.select("doc", F.explode("w").alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"))
+    postings = base.select("doc", F.size("w").alias("n_terms"), F.explode("w").alias("term")).groupBy("term", "doc", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_terms"))
     return Index(postings, lengths, stats)
 
@@ -46,7 +47,7 @@ def bm25(index: Index, queries: DataFrame, query: str, text: str, match_all: boo
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(index.stats)).select("term", "avg_terms", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("avg_terms")))
-    scored = hits.join(small(weights), "term").join(index.lengths, "doc").select("doc", "term", part.alias("part"))
+    scored = hits.join(small(weights), "term").select("doc", "term", part.alias("part"))
     found = scored.join(small(asked), "term").groupBy("query", "doc").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("matched"))
     if match_all:
         found = found.join(asked.groupBy("query").agg(F.count(F.lit(1)).alias("asked")), "query").filter("matched = asked").drop("asked")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from finloom.functions import text
 from finloom.operators import analytics, chunking, records, transcripts
-from finloom.plans.runtime import table
+from finloom.plans.runtime import spread, table
 from finloom.queries import query
 from finloom.queries.text import _toks
 from finloom.streaming import ingest
@@ -207,7 +207,7 @@ def section_asof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens_true(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").withColumn("n", text.token_count("text").cast("bigint"))
+    return spread(table(spark, d, "chunks").select("chunk_type", "section_title", "phase", "text")).withColumn("n", text.token_count("text").cast("bigint"))
 
 
 _STATS = "count(*) AS n, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, median(n) AS median, CAST(sum(n) AS BIGINT) AS total"
