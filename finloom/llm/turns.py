@@ -69,10 +69,14 @@ def _note(m: re.Match) -> str:
     return m[0] if _TERM.search(inner.lower()) and not _ONE_NOTE.match(inner) else " "
 
 
+# Words that stand before a colon without being anybody's name.
+_NO_NAMES = frozenset("date note notes source sources question answer subject re tags related peers page title time location disclaimer contact company ticker speaker participants transcript summary".split())
+
+
 def _looks_like_name(who: str) -> bool:
     """Every part begins with a capital letter (or all are lower case roles)."""
     parts = re.findall(r"[^\W\d_][\w'’.-]*", who)
-    return bool(parts) and all(p[0].isupper() for p in parts)
+    return bool(parts) and all(p[0].isupper() for p in parts) and parts[0].lower() not in _NO_NAMES
 
 
 def label(line: str) -> tuple[str | None, str]:
