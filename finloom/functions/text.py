@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: Unicode's white space, no-break spaces included, for Java and Python patterns alike.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_JAVA_WHITE = WHITE.replace("\\x85", "\\u0085").replace("\\xa0", "\\u00a0")
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
 
 
-def token_count(text: str | Column) -> Column:
-    """Pieces between white space; 0 for null, empty and blank text."""
+def tokens(text: str | Column) -> Column:
+    """Array of the pieces between white space; empty for null and blank text. White space is mapped to one character
+    first, because splitting at a single character needs no regular expression."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.regexp_count(col, F.lit(f"[^{_JAVA_WHITE}]+")), F.lit(0))
+    return F.coalesce(F.array_remove(F.split(F.translate(col, _BLANKS, " " * len(_BLANKS)), " "), ""), F.array().cast("array<string>"))
+
+
+def token_count(text: str | Column) -> Column:
+    """Number of the pieces between white space; 0 for null, empty and blank text."""
+    return F.size(tokens(text))
 
 
 #: Terms are runs of ASCII letters and digits in lower case.

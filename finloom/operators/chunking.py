@@ -7,18 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from finloom.config import ChunkConfig
-from finloom.functions.text import WHITE, token_count
+from finloom.functions.text import token_count, tokens
 from finloom.plans.runtime import spread
 
-_SPLIT = "[" + WHITE.replace("\\x85", "\\u0085").replace("\\xa0", "\\u00a0") + "]+"
-
-
-def tokens(text: str | Column) -> Column:
-    """Array of white-space-separated tokens; empty for null and blank."""
-    col = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.filter(F.split(col, _SPLIT), lambda t: t != ""), F.array().cast("array<string>"))
-
-
 def overlap_tokens(n: str | Column, ratio: float) -> Column:
     return F.floor((F.col(n) if isinstance(n, str) else n) * ratio).cast("int")
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from finloom.functions import text
 from finloom.operators import analytics, chunking, records, transcripts
-from finloom.plans.runtime import spread, table
+from finloom.plans.runtime import shared_dir, spread, table
 from finloom.queries import query
 from finloom.queries.text import _toks
+from finloom.schemas import CHUNK_REQUIRED, CHUNK_SCHEMA, CHUNK_TYPES, DOC_TYPES, PHASES, QUARTERS, SPEAKER_ROLES
+from finloom.sources import sinks
 from finloom.streaming import ingest
-from finloom.schemas import CHUNK_REQUIRED, CHUNK_TYPES, DOC_TYPES, PHASES, QUARTERS, SPEAKER_ROLES
 
 big = lambda *cs: {c: F.col(c).cast("bigint") for c in cs}
 
@@ -266,8 +269,7 @@ def validate_units(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """The pipeline over units: here the rows of chunks, each an own unit of its document."""
-    u = table(spark, d, "chunks").withColumn("unit_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id", "chunk_key"))).withColumn("exchange_id", F.when(F.col("chunk_type") == "qa_exchange", F.col("chunk_id")))
-    return chunking.chunk_documents(u)
+    return _unit_chunks(spark, d, "true")
 
 
 _LABEL = "CASE WHEN event_type IN ('purchase', 'signup') THEN 'positive' WHEN event_type = 'error' THEN 'negative' ELSE 'neutral' END"
@@ -361,3 +363,50 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     out = ingest.session_counts(table(spark, d, "events"), "ts", "2 hours", "1 day", "user_id")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT doc_id, saved_at, string_split(coalesce(nullif(source_file, ''), nullif(call_file, ''), doc_id), '/')[-1] AS name FROM calls")
+def source_name(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "calls").select("doc_id", "saved_at", text.file_name(text.first_present("source_file", "call_file", "doc_id")).alias("name"))
+
+
+@query("SELECT format('{}_chunk_{:04d}', doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id, chunk_key)) AS new_id, chunk_key, CASE WHEN doc_type IN ('10-K', '10-Q') THEN 'section_packed' WHEN phase = 'prepared_remarks' THEN 'prepared_packed' ELSE 'qa_exchange' END AS kind FROM chunks")
+def build_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk numbers within a document and the kind by family."""
+    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id", "chunk_key"))
+    kind = F.when(F.col("doc_type").isin("10-K", "10-Q"), "section_packed").when(F.col("phase") == "prepared_remarks", "prepared_packed").otherwise("qa_exchange")
+    return table(spark, d, "chunks").select(F.format_string("%s_chunk_%04d", "doc_id", no).alias("new_id"), "chunk_key", kind.alias("kind"))
+
+
+@query("SELECT doc_type, count(*) AS n, count(DISTINCT chunk_id) AS ids, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM chunks GROUP BY doc_type")
+def scan_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written as JSON lines by ticker and read back with the chunk reader."""
+    path = f"{shared_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    c = table(spark, d, "chunks").select(*CHUNK_SCHEMA.names)
+    sinks.write_chunks(c.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(8))), path, ("part",))
+    rows = spark.read.schema(CHUNK_SCHEMA).json(path)
+    return rows.groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chunk_id").alias("ids"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+
+
+@query("SELECT doc_type, count(DISTINCT chunk_id) AS n FROM chunks WHERE chunked_at IS NOT NULL GROUP BY doc_type")
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The same chunks as a stream of files: each id is appended once."""
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    table(spark, d, "chunks").select(*CHUNK_SCHEMA.names).write.json(f"{base}/in")
+    ingest.append_to(ingest.chunk_stream(spark, f"{base}/in", late="36500 days"), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _unit_chunks(spark: SparkSession, d: str, cond: str) -> DataFrame:
+    u = table(spark, d, "chunks").filter(cond).withColumn("unit_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id", "chunk_key"))).withColumn("exchange_id", F.when(F.col("chunk_type") == "qa_exchange", F.col("chunk_id")))
+    return chunking.chunk_documents(u)
+
+
+@query()
+def chunk_filings(spark: SparkSession, d: str) -> DataFrame:
+    return _unit_chunks(spark, d, "doc_type in ('10-K', '10-Q')")
+
+
+@query()
+def chunk_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    return _unit_chunks(spark, d, "doc_type = 'earnings_transcript'")

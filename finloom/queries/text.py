@@ -232,3 +232,49 @@ _SECT = " UNION ALL ".join(f"SELECT doc_id, length(text) AS n, '{i}' AS section_
 def detect_sections(spark: SparkSession, d: str) -> DataFrame:
     out = transcripts.sections(table(spark, d, "documents").filter("text is not null"), "doc_id", "text")
     return out.withColumns({"position": F.col("position").cast("bigint"), "end": F.col("end").cast("bigint")})
+
+
+_SECT_ENDS = f"SELECT doc_id, section_id, title, position, coalesce(lead(position) OVER (PARTITION BY doc_id ORDER BY position, section_id) - 1, n) AS last FROM ({_SECT}) WHERE position > 0"
+
+
+def _section_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    found = transcripts.sections(docs, "doc_id", "text")
+    return found.join(docs, "doc_id").withColumn("content", F.substring("text", F.col("position"), F.col("end") - F.col("position") + 1))
+
+
+@query(f"SELECT s.doc_id, section_id, substr(text, position, last - position + 1) AS content FROM ({_SECT_ENDS}) s JOIN documents dd ON dd.doc_id = s.doc_id")
+def extract_sections(spark: SparkSession, d: str) -> DataFrame:
+    return _section_texts(spark, d).select("doc_id", "section_id", "content")
+
+
+@query(f"SELECT s.doc_id, string_agg('### ' || s.title || ' ###' || chr(10) || substr(text, position, last - position + 1), chr(10) || chr(10) ORDER BY position, section_id) AS joined FROM ({_SECT_ENDS}) s JOIN documents dd ON dd.doc_id = s.doc_id GROUP BY s.doc_id")
+def concat_sections(spark: SparkSession, d: str) -> DataFrame:
+    block = F.concat(F.lit("### "), "title", F.lit(" ###\n"), "content")
+    rows = _section_texts(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("position", "section_id", block.alias("b")))).alias("s"))
+    return rows.select("doc_id", F.array_join(F.transform("s", lambda x: x["b"]), "\n\n").alias("joined"))
+
+
+_SPLIT_AT = f"coalesce({', '.join(_INSTR.format(p=p) for p in transcripts.QA_STARTS)})"
+
+
+@query(f"SELECT chunk_key, phase, block FROM (SELECT chunk_key, unnest(['prepared_remarks', 'qa']) AS phase, unnest([CASE WHEN s IS NULL THEN text ELSE substr(text, 1, s - 1) END, CASE WHEN s IS NULL THEN '' ELSE substr(text, s) END]) AS block FROM (SELECT chunk_key, text, {_SPLIT_AT} AS s FROM chunks WHERE doc_type = 'earnings_transcript' AND text IS NOT NULL)) WHERE block <> ''")
+def split_transcript(spark: SparkSession, d: str) -> DataFrame:
+    """A transcript's two phases, the second beginning with the words that open it."""
+    c = table(spark, d, "chunks").filter("doc_type = 'earnings_transcript' and text is not null").select("chunk_key", "text", transcripts.qa_start("text").alias("s"))
+    before, after = F.when(F.col("s").isNull(), F.col("text")).otherwise(F.substring("text", 1, F.col("s") - 1)), F.when(F.col("s").isNull(), "").otherwise(F.expr("substring(text, s)"))
+    rows = c.select("chunk_key", F.explode(F.array(F.struct(F.lit("prepared_remarks").alias("phase"), before.alias("block")), F.struct(F.lit("qa").alias("phase"), after.alias("block")))).alias("r"))
+    return rows.select("chunk_key", "r.*").filter("block <> ''")
+
+
+@query()
+def html_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered and bulleted lists by the parser, over pages made of each document's sentences."""
+    items = F.transform(text.sentences("text"), lambda s: F.concat(F.lit("<li>"), F.regexp_replace(s, "[<>&]", " "), F.lit("</li>")))
+    page = F.concat(F.lit("<ol>"), F.array_join(items, ""), F.lit("</ol>"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", html.html_text(page).alias("text"))
+
+
+@query(f"SELECT doc_id, CASE WHEN length(b) > 500 THEN b END AS main FROM (SELECT doc_id, trim(regexp_replace(regexp_replace({_CLEAN}, '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS b FROM (SELECT doc_id, regexp_extract({_PAGE}, '(?is)<body[^>]*>(.*?)</body>', 1) AS page FROM documents WHERE text IS NOT NULL))")
+def html_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("doc_id", html.main_text(F.col("page")).alias("main"))
