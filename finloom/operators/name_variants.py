@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finloom.functions.names import FULL, Name, cost, parse
-from finloom.plans.runtime import spread, stored
+from finloom.plans.runtime import stored
 
 SHORTEST = 4
 
@@ -132,7 +132,7 @@ def link_names(table: DataFrame, col: str = "speaker") -> DataFrame:
     spelling; further columns are ignored; an empty table gives an empty result. Only distinct spellings are shuffled,
     after a partial count. A spelling that could mean several (a lone surname that two people bear) stays alone.
     """
-    values = stored(read_names(spread(table.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("name")).agg(F.count(F.lit(1)).alias("n"))), "name"), "names")
+    values = stored(read_names(table.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("name")).agg(F.count(F.lit(1)).alias("n")), "name"), "names")
     key = F.concat_ws("|", "given", "initials", "surname", "firm")
     forms = values.filter("surname is not null").groupBy("given", "initials", "surname", "firm").agg(F.sum("n").alias("n")).withColumn("typed", key)
     forms = stored(_turned(forms).withColumn("id", key), "forms")

@@ -68,7 +68,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition only where the input has fewer splits than the cluster has cores (one small file)."""
+    """Repartition only where a scan has fewer splits than the cluster has cores (one small file). A plan with a shuffle
+    is left as it is: asking for its partitions would run it."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
