@@ -36,7 +36,7 @@ _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 
 # Greek and Cyrillic letters that look like Latin ones, in lower case.
 LOOKALIKES = str.maketrans("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u0501\u04bb\u043a\u043c\u0442\u0432\u043d\u03bf\u03b1\u03b5\u03b9\u03bd\u03c1\u03c5\u03c7\u03ba\u03c4\u03b7", "aeopcyxijsdhkmtbhoaeivpuxktn")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<\|[^<>|]{1,40}\|>")
 _BROKEN = re.compile(r"[-\u2010\u2011\u00ad][ \t]*\r?\n[ \t]*")
 _ODD = re.compile(r"[<&\u00ad\u200b-\u200f\u2060\ufeff]|[-\u2010\u2011][ \t]*\r?\n")
 
