@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from finloom.functions.names import FULL, Name, cost, parse
 from finloom.plans.runtime import stored
 
-SHORTEST = 4
+#: Letters that a part needs to meet others than itself.
+SHORTEST = 3
 
 
 class Automaton:
@@ -132,29 +133,38 @@ def link_names(table: DataFrame, col: str = "speaker") -> DataFrame:
     spelling; further columns are ignored; an empty table gives an empty result. Only distinct spellings are shuffled,
     after a partial count. A spelling that could mean several (a lone surname that two people bear) stays alone.
     """
+    spark = table.sparkSession
     values = stored(read_names(table.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("name")).agg(F.count(F.lit(1)).alias("n")), "name"), "names")
     key = F.concat_ws("|", "given", "initials", "surname", "firm")
     forms = values.filter("surname is not null").groupBy("given", "initials", "surname", "firm").agg(F.sum("n").alias("n")).withColumn("typed", key)
     forms = stored(_turned(forms).withColumn("id", key), "forms")
     merged = forms.groupBy("id", "given", "initials", "surname", "firm").agg(F.sum("n").alias("n"))
 
-    # Parts that meet in a trie, every part meeting itself.
-    parts = merged.select(F.explode(F.array("surname", F.array_join(F.slice(F.split("firm", " "), 1, 99), " "))).alias("word")).filter("word <> ''").distinct()
+    # Parts that meet in a trie, every part meeting itself; near: at most the words one edit away.
+    parts = merged.select(F.explode(F.array("surname", "given", "firm")).alias("word")).filter("word <> ''").distinct()
     near = neighbours(parts)
     near = stored(near.unionByName(parts.select("word", F.col("word").alias("near"))), "near")
-
-    @F.udf("array<string>")
-    def blocks(given, initials, surname, firm):
-        """Beside the surname (or the firm's words): initials of what the given name may stand for, and its inside."""
-        if firm:
-            return ["*"]
-        if not given:
-            return [initials[:1]] if initials else []
-        return sorted({f[0] for f in FULL.get(given, {given})} | {given[0]} | ({given[1:4], given[-2:]} if len(given) > 2 else set()))
-
-    body = F.when(F.col("firm") != "", F.col("firm")).otherwise(F.col("surname"))
-    blocked = stored(merged.withColumn("word", body).withColumn("block", F.explode(blocks("given", "initials", "surname", "firm"))), "blocked")
-    other = blocked.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "given", "initials", "surname", "firm", "n")], F.col("word").alias("near"), "block")
+    met = lambda df, col, name: df.join(near.select(F.col("word").alias(col), F.col("near").alias(name)), col)
+
+    # Full names meet on (surname, full given name): either part may differ by an edit, the given name may be a short
+    # form, and the parts may stand in either order. Nobody meets all bearers of a surname.
+    short = F.broadcast(spark.createDataFrame([(k, f) for k, fs in FULL.items() for f in fs], "word string, full string"))
+    whole = lambda df, col: df.join(short.select(F.col("word").alias(col), "full"), col, "left").withColumn("full", F.coalesce("full", col))
+    fulls = merged.filter("given <> ''")
+    heads = whole(fulls.withColumn("g", F.col("given")), "g").drop("g").withColumnRenamed("surname", "s")
+    both = met(met(fulls, "surname", "s"), "given", "g")
+    asking = whole(both.select("id", "n", "given", "initials", "surname", "firm", F.explode(F.array(F.struct("s", "g"), F.struct(F.col("g").alias("s"), F.col("s").alias("g")))).alias("k")).select("*", "k.s", "k.g").drop("k"), "g").drop("g")
+    as_b = lambda df, *keys: df.select(*keys, *[F.col("s" if c == "surname" and "surname" not in df.columns else c).alias(f"b_{c}") for c in ("id", "given", "initials", "surname", "firm", "n")])
+    pairs = asking.join(as_b(heads, F.col("s"), F.col("full")), ["s", "full"]).drop("s", "full")
+
+    # Initials meet the most frequent full name, and the most frequent form with initials, of (surname, initial).
+    first = lambda df, s, i: df.groupBy(F.col(s).alias("s"), F.left(i, F.lit(1)).alias("i")).agg(F.max_by(F.struct("id", "given", "initials", F.col(s).alias("surname"), "firm", "n"), F.struct("n", "id")).alias("h")).select("s", "i", "h.*")
+    initial = merged.filter("given = '' and initials <> ''")
+    tops = first(heads, "s", "full").unionByName(first(heads, "s", "given")).unionByName(first(initial, "surname", "initials"))
+    pairs = pairs.unionByName(met(initial.withColumn("i", F.left("initials", F.lit(1))), "surname", "s").join(as_b(tops, "s", "i"), ["s", "i"]).select(*pairs.columns))
+
+    firms = merged.filter("firm <> ''")
+    pairs = pairs.unionByName(met(firms, "firm", "s").join(as_b(firms, F.col("firm").alias("s")), "s").select(*pairs.columns))
 
     @F.pandas_udf("double")
     def apart(g: pd.Series, i: pd.Series, s: pd.Series, f: pd.Series, g2: pd.Series, i2: pd.Series, s2: pd.Series, f2: pd.Series) -> pd.Series:
@@ -166,7 +176,7 @@ def link_names(table: DataFrame, col: str = "speaker") -> DataFrame:
     # A better form is fuller (a full given name before initials before a lone surname) or as full and more frequent.
     full = lambda p: F.when(F.col(f"{p}given") != "", 2).when(F.col(f"{p}firm") != "", 2).when(F.col(f"{p}initials") != "", 1).otherwise(0)
     better = (full("b_") > full("")) | ((full("b_") == full("")) & ((F.col("b_n") > F.col("n")) | ((F.col("b_n") == F.col("n")) & (F.col("b_id") < F.col("id")))))
-    pairs = blocked.join(near, "word").join(other, ["near", "block"]).filter((F.col("id") != F.col("b_id")) & better).dropDuplicates(["id", "b_id"])
+    pairs = pairs.filter((F.col("id") != F.col("b_id")) & better).dropDuplicates(["id", "b_id"])
     pairs = pairs.withColumn("cost", apart("given", "initials", "surname", "firm", "b_given", "b_initials", "b_surname", "b_firm")).filter("cost < 5")
     best = pairs.groupBy("id").agg(F.min_by("b_id", F.struct("cost", -F.col("b_n"), "b_id")).alias("up"))
     tree = stored(merged.join(best, "id", "left").select("id", "n", "given", "initials", "surname", "firm", F.coalesce("up", "id").alias("up")), "tree")
@@ -180,7 +190,7 @@ def link_names(table: DataFrame, col: str = "speaker") -> DataFrame:
     # A lone surname belongs to its bearer where there is only one.
     lone = tree.filter("firm = '' and initials = ''")
     roots = tree.filter("firm = '' and initials <> '' and id = up").select(F.col("surname").alias("near"), F.col("id").alias("root"))
-    bearer = lone.join(near, lone["surname"] == near["word"]).join(roots, "near").withColumn("same", F.col("near") == F.col("word"))
+    bearer = lone.join(near, lone["surname"] == near["word"]).join(roots, "near").withColumn("same", F.col("near") == F.col("word")).filter("same or least(length(near), length(word)) > 3")
     bearer = bearer.groupBy("id").agg(F.min(F.when(F.col("same"), F.col("root"))).alias("r1"), F.max(F.when(F.col("same"), F.col("root"))).alias("r2"), F.min("root").alias("q1"), F.max("root").alias("q2"))
     bearer = bearer.select("id", F.when(F.col("r1") == F.col("r2"), F.col("r1")).when(F.col("r1").isNull() & (F.col("q1") == F.col("q2")), F.col("q1")).alias("root"))
     tree = tree.join(bearer, "id", "left").select("id", F.coalesce("root", "up").alias("root"))
