@@ -410,3 +410,12 @@ def chunk_filings(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunk_transcripts(spark: SparkSession, d: str) -> DataFrame:
     return _unit_chunks(spark, d, "doc_type = 'earnings_transcript'")
+
+
+@query("SELECT chunk_key, speaker, phase, section_title FROM chunks WHERE chunk_tokens >= 50 AND text <> ''")
+def metadata_map(spark: SparkSession, d: str) -> DataFrame:
+    """Non-null metadata as a map, and read back from it."""
+    cols = ["speaker", "phase", "section_title"]
+    m = F.map_filter(F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c))]), lambda k, v: v.isNotNull())
+    rows = table(spark, d, "chunks").filter("chunk_tokens >= 50 and text <> ''").select("chunk_key", m.alias("m"))
+    return rows.select("chunk_key", *[F.try_element_at("m", F.lit(c)).alias(c) for c in cols])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from finloom.config import ChunkConfig
 from finloom.functions import html, text
-from finloom.operators import chunking, lexical, transcripts
+from finloom.functions.stem import stems
+from finloom.operators import chunking, lexical, transcripts, units
 from finloom.plans.runtime import table
 from finloom.queries import query
 
@@ -278,3 +279,19 @@ def html_lists(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, CASE WHEN length(b) > 500 THEN b END AS main FROM (SELECT doc_id, trim(regexp_replace(regexp_replace({_CLEAN}, '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS b FROM (SELECT doc_id, regexp_extract({_PAGE}, '(?is)<body[^>]*>(.*?)</body>', 1) AS page FROM documents WHERE text IS NOT NULL))")
 def html_main_text(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("doc_id", html.main_text(F.col("page")).alias("main"))
+
+
+@query()
+def stem_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences of Porter stems; the distinct terms are stemmed, not the texts."""
+    index = lexical.build_index(table(spark, d, "documents"), "doc_id", "text")
+    terms = index.postings.groupBy("term").agg(F.sum("tf").alias("n"))
+    return terms.select(F.element_at(stems(F.array("term")), 1).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("occurrences"))
+
+
+@query()
+def parse_filing(spark: SparkSession, d: str) -> DataFrame:
+    """Units of the documents' pages."""
+    meta = table(spark, d, "documents").select("doc_id", "ticker", F.lit("10-K").alias("form_type"), F.year("published_at").alias("fiscal_year"), F.lit("FY").alias("quarter"), F.col("published_at").cast("date").cast("string").alias("filing_date"), F.col("source").alias("source_file"))
+    pages = _pages(spark, d).join(meta, "doc_id").withColumn("doc_id", F.col("doc_id").cast("string"))
+    return units.filing_units(pages, "page")
