@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,9 @@ NOTES = (
     r"phone(?:tic)?(?: ringing)?|ph|sp|sic|technical difficult(?:y|ies)|technical \w+|cough\w*|sneez\w*|sigh\w*|silence|clears throat|break|audio \w+|no audio|no response|static|beep|foreign language|operator instructions|call \w+|line \w+"
 )
 _TIME = re.compile(
-    r"[\[({<]\s*(?:\d{1,2}:)?\d{1,3}:\d{2}(?:[.,]\d+)?\s*[\])}>]|(?<![\w:.,])\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?(?![\w:])|(?<![\w:.,])(?:\d+h)?\d+m\d{1,2}s(?!\w)"
+    r"[\[({<]\s*(?:\d{1,2}:)?\d{1,3}:\d{2}(?:[.,]\d+)?\s*[\])}>]|(?<![\w:.,])\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?(?![\w:])"
 )
+_SPAN = re.compile(r"(?<![\w:.,])(?:\d+h)?\d+m\d{1,2}s(?!\w)")
 _RANGE = re.compile(r"^\s*\d{1,2}:\d{2}(?::\d{2})?[.,]?\d*\s*-+>\s*\d{1,2}:\d{2}(?::\d{2})?[.,]?\d*.*$")
 _ROUND = re.compile(rf"\(\(.*?\)\)|\(\s*(?:{NOTES})\s*\)", re.I)
 _OTHER = re.compile(r"\[[^\[\]]{1,60}\]|\{[^{}]{1,60}\}|<[^<>]{1,60}>|(?<!\*)\*[^*\s][^*]{0,40}\*(?!\*)")
@@ -152,9 +154,10 @@ def turns(text: str | None, speaker: str | None, gone: frozenset[int] | set[int]
             continue
         if line.isdigit() and i < len(raw) and _RANGE.match(raw[i]):
             continue
-        line = _TIME.sub(" ", line)
-        who, rest = label(line)
-        parts += [(who if k == 0 else None, r) for k, r in enumerate(re.split("[\r \x85]", rest))]
+        for piece in _BREAK.split(line) if "\r" in line or not line.isascii() else (line,):
+            if ":" in piece:
+                piece = _TIME.sub(" ", piece)
+            parts.append(label(_SPAN.sub(" ", piece)))
     people = Speakers(speaker)
     people.learn([w for w, _ in parts if w])
     now, out, n_people = people.first, [], 0
@@ -229,19 +232,21 @@ def speaker_turns(chunks: DataFrame, lines: DataFrame | None = None, row: str =
     rows = qa.select(row, "text", "speaker", "speaker_role", "phase").join(info.hint("shuffle_hash"), row)
     kind = f"{row} {chunks.schema[row].dataType.simpleString()}, turn_no int, speaker_no int, n_words int, speaker string, speaker_role string, phase string, text string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for key, text, who, role, phase, gone_, known in zip(*(b[c] for c in (row, "text", "speaker", "speaker_role", "phase", "_gone", "_roster")), strict=True):
-                got = turns(text, who, frozenset() if gone_ is None else set(gone_))
-                clean = clean_names([p for p, _, _ in got], [] if known is None else list(known))
+            cols: list[list] = [[] for _ in range(8)]
+            for key, text, who, role, phase, gone_, known in zip(*(b.column(c).to_pylist() for c in (row, "text", "speaker", "speaker_role", "phase", "_gone", "_roster")), strict=True):
+                got = turns(text, who, frozenset(gone_ or ()))
+                clean = clean_names([p for p, _, _ in got], known or [])
                 first = parse(who) if who else None
                 for k, (p, t, n) in enumerate(got, 1):
                     mine = first is not None and _same(p, first) < 5
-                    out.append((key, k, p.no, n, "Operator" if p.operator else clean.get(p.no), "operator" if p.operator else _role(role) if mine else None, _phase(phase), t))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in kind.split(", ")])
+                    values = (key, k, p.no, n, "Operator" if p.operator else clean.get(p.no), "operator" if p.operator else _role(role) if mine else None, _phase(phase), t)
+                    for c, v in zip(cols, values, strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.schema.field(row).type, *[pa.int32()] * 3, *[pa.string()] * 4], strict=True)], names=[c.split()[0] for c in kind.split(", ")])
 
-    return rows.mapInPandas(run, kind)
+    return rows.mapInArrow(run, kind)
 
 
 # The spellings of roles and phases.
