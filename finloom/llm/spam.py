@@ -67,8 +67,8 @@ def _prose(text: str, into: Counter, said: list[list[str]]) -> None:
 
 
 def _settle(said: list[list[str]], into: Counter, phrases: Counter) -> None:
-    """Words of what looked like prose: a short piece whose word pairs mostly come back on the page, or one of at
-    least eight words with hardly a function word, is stuffing."""
+    """Words of what looked like prose: a short piece whose word pairs mostly come back on the page, a long one that
+    repeats its own, or one of at least eight words with hardly a function word is stuffing."""
     pairs: Counter = Counter()
     for w in said:
         pairs.update(zip(w, w[1:], strict=False))
@@ -76,7 +76,8 @@ def _settle(said: list[list[str]], into: Counter, phrases: Counter) -> None:
     for w in said:
         n = sum(map(FUNCTION_WORDS.__contains__, w))
         back = often and 3 < len(w) <= SHORT and n <= 0.34 * len(w) and sum(pairs[p] > 2 for p in zip(w, w[1:], strict=False)) >= 0.6 * (len(w) - 1)
-        if back or (len(w) >= 8 and n < 0.06 * len(w)):
+        drone = len(w) > 40 and 2 * len(set(zip(w, w[1:], strict=False))) <= len(w)
+        if back or drone or (len(w) >= 8 and n < 0.06 * len(w)):
             into["run"] += len(w)
             for p in zip(w, w[1:], strict=False):
                 phrases[f"{p[0]} {p[1]}".strip(".,;:!?")] += 1
@@ -145,7 +146,7 @@ def page_words(text: str) -> tuple[dict[str, int], dict[str, int]]:
                 sizes = [len(_words(p)) for p in parts]
                 total = sum(sizes)
                 # A list: most words in short parts and hardly a function word, or an offer's marks all over.
-                if total and sum(n for n in sizes if n <= 5) >= 0.8 * total and (few <= 0.12 * total or (total <= 4 * len(parts) and few <= 0.4 * total and any(c in line for c in ">•»·")) or 3 * len(_PRODUCT.findall(line)) >= len(parts)):
+                if total and sum(n for n in sizes if n <= 5) >= 0.8 * total and (few <= 0.12 * total or (total <= 4 * len(parts) and few <= 0.4 * total and any(c in line for c in ">•»·")) or 3 * len(_PRODUCT.findall(line)) >= len(parts) or (len(parts) >= 8 and 2 * len({p.lower() for p in parts}) <= len(parts))):
                     flush()
                     for p in parts:
                         note("list", _words(p))
