@@ -138,7 +138,8 @@ def link_names(table: DataFrame, col: str = "speaker") -> DataFrame:
     key = F.concat_ws("|", "given", "initials", "surname", "firm")
     forms = values.filter("surname is not null").groupBy("given", "initials", "surname", "firm").agg(F.sum("n").alias("n")).withColumn("typed", key)
     forms = stored(_turned(forms).withColumn("id", key), "forms")
-    merged = forms.groupBy("id", "given", "initials", "surname", "firm").agg(F.sum("n").alias("n"))
+    # Small plans over stored tables: the driver keeps every plan that it has run.
+    merged = stored(forms.groupBy("id", "given", "initials", "surname", "firm").agg(F.sum("n").alias("n")), "merged")
 
     # Parts that meet in a trie, every part meeting itself; near: at most the words one edit away.
     parts = merged.select(F.explode(F.array("surname", "given", "firm")).alias("word")).filter("word <> ''").distinct()
@@ -151,11 +152,11 @@ def link_names(table: DataFrame, col: str = "speaker") -> DataFrame:
     short = F.broadcast(spark.createDataFrame([(k, f) for k, fs in FULL.items() for f in fs], "word string, full string"))
     whole = lambda df, col: df.join(short.select(F.col("word").alias(col), "full"), col, "left").withColumn("full", F.coalesce("full", col))
     fulls = merged.filter("given <> ''")
-    heads = whole(fulls.withColumn("g", F.col("given")), "g").drop("g").withColumnRenamed("surname", "s")
+    heads = stored(whole(fulls.withColumn("g", F.col("given")), "g").drop("g").withColumnRenamed("surname", "s"), "heads")
     both = met(met(fulls, "surname", "s"), "given", "g")
     asking = whole(both.select("id", "n", "given", "initials", "surname", "firm", F.explode(F.array(F.struct("s", "g"), F.struct(F.col("g").alias("s"), F.col("s").alias("g")))).alias("k")).select("*", "k.s", "k.g").drop("k"), "g").drop("g")
     as_b = lambda df, *keys: df.select(*keys, *[F.col("s" if c == "surname" and "surname" not in df.columns else c).alias(f"b_{c}") for c in ("id", "given", "initials", "surname", "firm", "n")])
-    pairs = asking.join(as_b(heads, F.col("s"), F.col("full")), ["s", "full"]).drop("s", "full")
+    pairs = stored(asking.join(as_b(heads, F.col("s"), F.col("full")), ["s", "full"]).drop("s", "full"), "pairs")
 
     # Initials meet the most frequent full name, and the most frequent form with initials, of (surname, initial).
     first = lambda df, s, i: df.groupBy(F.col(s).alias("s"), F.left(i, F.lit(1)).alias("i")).agg(F.max_by(F.struct("id", "given", "initials", F.col(s).alias("surname"), "firm", "n"), F.struct("n", "id")).alias("h")).select("s", "i", "h.*")
