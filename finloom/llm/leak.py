@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from finloom.plans.runtime import spread
 
 GRAM, WINDOW, MIN_WORDS = 4, 3, 15
-#: Words that a word of difference weighs; at ``min_words`` one difference is let pass, in longer spans one more for
-#: every ``COST`` further words.
+#: Words that a word of difference weighs: at ``min_words`` one difference is let pass; from ``COST`` words more on, as
+#: many as leave half of ``min_words``.
 COST = 3
 #: Held-out items whose fingerprints one pass broadcasts; more items are searched in further blocks.
 ITEMS_PER_BLOCK = 20_000
@@ -222,7 +222,8 @@ def search(texts: list[str | None], prints: Prints, gram: int, window: int, min_
                 lists.clear()
             lists[k] = parts[2 * k].tolist()
         kept, edits, end = extend(lists[k], prints.texts[o].tolist(), x - starts[k], y, gram)
-        if kept >= min_words and kept - COST * edits >= min_words - COST:
+        rest = kept - COST * edits
+        if kept >= min_words and (rest >= min_words - COST or (kept >= min_words + COST and 2 * rest > min_words)):
             out.add((k, o))
         else:
             done.setdefault((k, o), []).append((x, starts[k] + end, x - y))
