@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +44,30 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in the Python workers, wherever they run: it is zipped into the shared folder and
+    added to the application, once. Operators called without this need the package on the workers' PYTHONPATH."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{shared_dir(spark).rstrip('/')}/{root.name}-{uuid.uuid4().hex}.zip")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(fs.makeQualified(path).toString())
+    _SHIPPED.add(sc.applicationId)
+
+
 _WRITTEN: list[str] = []
 
 

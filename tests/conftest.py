@@ -11,8 +11,9 @@ for p in (ROOT, ROOT / "tests"):
 
 @pytest.fixture(scope="session")
 def spark():
-    from finloom.plans.runtime import session
+    from finloom.plans.runtime import session, ship
 
     s = session(cores="4", shuffle_partitions=4, memory="4g")
+    ship(s)
     yield s
     s.stop()
