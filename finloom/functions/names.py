@@ -19,9 +19,10 @@ ORGANISATION = {
     "financial": "financial", "fin": "financial", "fincl": "financial", "services": "services", "svcs": "services", "svc": "services", "street": "street", "trust": "trust", "tr": "trust", "fund": "fund", "funds": "fund", "analytics": "analytics", "strategies": "strategies",
     "and": "and", "the": "the", "of": "of", "for": "for", "systems": "systems", "sys": "systems", "industries": "industries", "inds": "industries", "ind": "industries", "brothers": "brothers", "bros": "brothers", "national": "national", "natl": "national", "first": "first",
     "global": "global", "glbl": "global", "technologies": "technologies", "tech": "technologies", "department": "department", "dept": "department", "association": "association", "assn": "association",
+    "investor": "investor", "inv": "investor", "relations": "relations", "rels": "relations", "rel": "relations", "equities": "equities", "ventures": "ventures", "wealth": "wealth", "insurance": "insurance", "ins": "insurance", "communications": "communications", "comms": "communications",
 }
 _STRONG = frozenset(
-    "research group capital partners securities advisory advisors bank markets equity institutional holdings company corporation incorporated limited llc llp plc associates management investments international financial services trust fund strategies systems industries technologies analytics department association".split()
+    "research group capital partners securities advisory advisors bank markets equity institutional holdings company corporation incorporated limited llc llp plc associates management investments international financial services trust fund strategies systems industries technologies analytics department association relations equities ventures wealth insurance communications".split()
 )
 _LONG_STRONG = frozenset(w for w in _STRONG if len(w) > 6)
 # Words that an organisation's name may have or lack.
@@ -86,6 +87,9 @@ def parse(text: str) -> Name | None:
         words, low = words[:-1], low[:-1]
     if not low:
         return None
+    # "IR" behind a name is short for two words.
+    if len(low) > 1 and "ir" in low[1:]:
+        low = [x for w in low for x in (("investor", "relations") if w == "ir" else (w,))]
     if len(low) > 1 and any(_organisation_word(w) for w in (low if "," in low else low[1:])):
         full = tuple(_organisation_word(w) or ORGANISATION.get(w, w) for w in low if w != ",")
         return Name("", "", "", tuple(w for w in full if w not in LOOSE_WORDS) or full)

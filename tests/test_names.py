@@ -17,6 +17,8 @@ from finloom.operators.name_variants import Automaton, link_names, neighbours, s
         ("JavierMolcogiso", Name("javier", "j", "molcogiso")),
         ("MOLCOGISO", Name("", "", "molcogiso")),
         ("Bofi Rsch Grp.", Name("", "", "", ("bofi", "research", "group"))),
+        ("Bofi IR.", Name("", "", "", ("bofi", "investor", "relations"))),
+        ("Bofi Investor Relations, Inc.", Name("", "", "", ("bofi", "investor", "relations"))),
         ("  ", None),
         ("123", None),
     ],
