@@ -36,8 +36,11 @@ SPOKEN = (
 
 
 def line_key(line: Column) -> Column:
-    """Letters of the line in lower case, dates left out."""
-    return F.regexp_replace(F.concat(F.lit(" "), F.lower(line)), rf"[^\p{{L}}]+(?:{DATES}(?:[^\p{{L}}]+|$))*", "")
+    """Letters of the line in lower case, dates left out: names of months and days, and whatever stands for a month
+    before a day and a year."""
+    low = F.concat(F.lit(" "), F.lower(line))
+    low = F.when(low.rlike(",[\\s\u00a0]+20\\d\\d"), F.regexp_replace(low, "[^\\s\u00a0]{3,9}[\\s\u00a0]+\\d{1,2},[\\s\u00a0]+20\\d\\d", " ")).otherwise(low)
+    return F.regexp_replace(low, rf"[^\p{{L}}]+(?:{DATES}(?:[^\p{{L}}]+|$))*", "")
 
 
 def _halves(source: Column, key: Column, ends: bool) -> Column:
