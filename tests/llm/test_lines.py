@@ -6,6 +6,8 @@ from finloom.llm.lines import LEAST_ROWS, LEAST_SHARE, repeated_lines, without_l
 
 
 def _key(line):
+    # What stands before a day and a year is a month, however it is spelled.
+    line = re.sub(r"\S{3,9}\s+\d{1,2},\s+20\d\d", " ", line)
     line = re.sub(r"\b(january|february|march|april|may|june|july|august|september|october|november|december)\b", "", line.lower())
     return re.sub(r"[^a-z]", "", line)
 
