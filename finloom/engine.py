@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from finloom.config import SearchConfig
 from finloom.operators import dense, fusion, lexical
 from finloom.operators.predicates import compile_where
-from finloom.plans.runtime import small
+from finloom.plans.runtime import few, small
 
 LEGS = ["lexical", "dense"]
 
@@ -57,8 +57,9 @@ class Engine:
     def retrieve(self, queries: DataFrame, k: int = 5, where: dict | None = None, rescore: Callable | None = None) -> DataFrame:
         """The best k with their texts. ``rescore(df) -> df`` may add a column ``rescored`` to the pool (a model, rules);
         then that decides, the fused rank breaking ties."""
-        pool = self.search(queries, min(self.config.pool, 4 * k), where)
-        rows = self.chunks.withColumnRenamed(self.key, "doc").join(small(pool), "doc").join(small(queries.select("query", "question")), "query")
+        n = min(self.config.pool, 4 * k)
+        pool = few(self.search(queries, n, where), queries, n)
+        rows = self.chunks.withColumnRenamed(self.key, "doc").join(pool, "doc").join(small(queries.select("query", "question")), "query")
         rows = rescore(rows) if rescore else rows.withColumn("rescored", F.col("score"))
         return lexical.top_k(rows.withColumnRenamed("rank", "fused_rank"), "query", k, "rescored", ties="fused_rank", digits=9)
 

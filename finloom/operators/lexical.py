@@ -44,8 +44,9 @@ def bm25(index: Index, queries: DataFrame, query: str, text: str, match_all: boo
     asked = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(terms(text))).alias("term"))
     hits = index.postings.join(small(asked.select("term").distinct()), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.crossJoin(F.broadcast(index.stats)).select("term", "avg_terms", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
+    n_docs, avg_terms = (index.stats.select(c).scalar() for c in ("n_docs", "avg_terms"))
+    idf = F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = df.select("term", idf.alias("idf"), avg_terms.alias("avg_terms")).withColumn("idf", F.when(F.col("idf") > 0, F.col("idf")).otherwise(F.lit(LEAST_IDF)))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("avg_terms")))
     scored = hits.join(small(weights), "term").select("doc", "term", part.alias("part"))
     found = scored.join(small(asked), "term").groupBy("query", "doc").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("matched"))

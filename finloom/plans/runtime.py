@@ -44,6 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def few(df: DataFrame, groups: DataFrame, per_group: int, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``per_group`` rows for each row of ``groups`` and a count of
+    ``groups`` (cheap, where ``df`` is not) proves that few enough."""
+    return F.broadcast(df) if per_group * groups.count() <= rows else df
+
+
 _SHIPPED: set[str] = set()
 
 

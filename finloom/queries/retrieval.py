@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from finloom.operators import analytics, dense, fusion, lexical, records
 from finloom.operators.predicates import compile_where
-from finloom.plans.runtime import table
+from finloom.plans.runtime import few, small, table
 from finloom.queries import query
 from finloom.queries.text import _terms
 
@@ -142,7 +142,7 @@ def _legs(spark: SparkSession, d: str, fetch: int) -> dict[str, tuple[DataFrame,
     """Lexical ranks of the stated questions and dense ranks of the vectors of the same ids."""
     lex = lexical.top_k(lexical.bm25(_index(spark, d), _questions(spark, d), "query", "question"), "query", fetch).select("query", "doc", "rank")
     v, q = _vectors(spark, d)
-    den = dense.knn(v, q, fetch).join(F.broadcast(_questions(spark, d).select("query")), "query", "left_semi").select("query", "doc", "rank")
+    den = dense.knn(v, q, fetch).join(small(_questions(spark, d).select("query")), "query", "left_semi").select("query", "doc", "rank")
     return {"lexical": (lex, 0.5), "dense": (den, 0.5)}
 
 
@@ -172,9 +172,9 @@ def explain_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT a AS lexical, b AS dense, abs(a - b) <= 0.1 * greatest(a, b) AS parity FROM (SELECT count(*) AS a FROM documents), (SELECT count(*) AS b FROM embeddings)")
 def index_parity(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("lexical"))
-    b = table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("dense"))
-    return a.crossJoin(b).withColumn("parity", F.abs(F.col("lexical") - F.col("dense")) <= 0.1 * F.greatest("lexical", "dense"))
+    count = lambda t: table(spark, d, t).agg(F.count(F.lit(1))).scalar()
+    both = spark.range(1).select(count("documents").alias("lexical"), count("embeddings").alias("dense"))
+    return both.withColumn("parity", F.abs(F.col("lexical") - F.col("dense")) <= 0.1 * F.greatest("lexical", "dense"))
 
 
 _RERANK = _FUSED + """, pool AS (SELECT o.*, dd.lang, dd.text, dd.source, least(1.0, score * 60) AS base FROM o JOIN documents dd USING (doc_id) WHERE rank <= 20),
@@ -185,7 +185,7 @@ z AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 6) DESC,
 def _reranked(spark: SparkSession, d: str, k: int) -> DataFrame:
     """The fused pool of 20, adjusted by rules given as data (short texts are capped, unknown languages halved)."""
     pool = fusion.best(fusion.fuse(_legs(spark, d, 30)), ["lexical", "dense"], 20).withColumnRenamed("doc", "doc_id")
-    rows = table(spark, d, "documents").select("doc_id", "lang", "text", "source").join(F.broadcast(pool), "doc_id")
+    rows = table(spark, d, "documents").select("doc_id", "lang", "text", "source").join(few(pool, _questions(spark, d), 20), "doc_id")
     s = F.least(F.lit(1.0), F.col("score") * 60)
     rows = rows.withColumn("s", fusion.adjust(s, [(F.col("lang").isNull(), s * 0.5), (F.length("text") < 200, F.least(s, F.lit(0.3)))]))
     return lexical.top_k(rows.drop("rank"), "query", k, "s", ties="doc_id")
@@ -204,7 +204,7 @@ def retrieve_context(spark: SparkSession, d: str) -> DataFrame:
 @query(_RERANK + """ SELECT z.query, string_agg('Source ' || place || ' (' || coalesce(source, 'unknown') || '):' || chr(10) || substr(coalesce(text, ''), 1, 500), chr(10) || chr(10) ORDER BY place) || chr(10) || chr(10) || 'Question: ' || any_value(q.question) AS prompt
   FROM z JOIN eval_questions q ON q.item_id = z.query WHERE place <= 5 GROUP BY z.query""")
 def build_prompt(spark: SparkSession, d: str) -> DataFrame:
-    rows = _reranked(spark, d, 5).join(F.broadcast(_questions(spark, d).select("query", "question")), "query")
+    rows = _reranked(spark, d, 5).join(small(_questions(spark, d).select("query", "question")), "query")
     return fusion.build_prompts(rows, "query", "rank", "source", "text", "question")
 
 
@@ -234,7 +234,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     """A document counts as relevant if it is about the question's company."""
     got = fusion.best(fusion.fuse(_legs(spark, d, 30)), ["lexical", "dense"], 30).withColumnRenamed("doc", "doc_id")
     q = table(spark, d, "eval_questions").select(F.col("item_id").alias("query"), F.col("ticker").alias("asked"), "category")
-    return table(spark, d, "documents").select("doc_id", "ticker").join(F.broadcast(got.select("query", "doc_id", "rank")), "doc_id").join(F.broadcast(q), "query").withColumn("rel", F.col("ticker") == F.col("asked"))
+    return table(spark, d, "documents").select("doc_id", "ticker").join(few(got.select("query", "doc_id", "rank"), _questions(spark, d), 30), "doc_id").join(small(q), "query").withColumn("rel", F.col("ticker") == F.col("asked"))
 
 
 _MEASURES = ", ".join(f"max(CASE WHEN rel AND rank <= {k} THEN 1 ELSE 0 END) AS hit_{k}, sum(CASE WHEN rel AND rank <= {k} THEN 1.0 ELSE 0.0 END) / least({k}, count(*)) AS precision_{k}" for k in (1, 3, 5)) + ", coalesce(1.0 / min(CASE WHEN rel THEN rank END), 0.0) AS reciprocal_rank"
@@ -260,7 +260,7 @@ def ir_hits(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose source name contains the expected one or the other way round, and those that hold the answer."""
     q = table(spark, d, "eval_questions").filter("item_id % 100 = 0").select("item_id", F.col("ticker").alias("asked"), "answer_value")
     docs = table(spark, d, "documents").select("ticker", "text")
-    rows = docs.join(F.broadcast(q), analytics.either_contains("ticker", "asked"))
+    rows = docs.join(small(q), analytics.either_contains("ticker", "asked"))
     return rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.count_if(analytics.answer_in("answer_value", "text")).alias("with_answer"))
 
 
