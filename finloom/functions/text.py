@@ -31,7 +31,7 @@ TERM_SPLIT = "[^a-z0-9]+"
 def terms(text: str | Column) -> Column:
     """Array of a text's terms, in order; empty for null."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.filter(F.split(F.lower(col), TERM_SPLIT), lambda t: t != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(F.lower(col), TERM_SPLIT), ""), F.array().cast("array<string>"))
 
 
 # Phrases that stand on lines of their own in filings and transcripts and say nothing.

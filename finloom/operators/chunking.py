@@ -55,7 +55,8 @@ def window_chunks(df: DataFrame, key: str, text: str, cfg: ChunkConfig = ChunkCo
 
     The text is split into tokens once and sliced; overlaps are closed forms, so nothing is shuffled."""
     base = spread(df.select(key, text)).select(key, tokens(text).alias("_t")).withColumn("_w", windows(F.size("_t"), cfg))
-    rows = base.select(key, "_t", "_w", F.posexplode("_w").alias("_i", "_s"))
+    # An outer explode: for an inner one the optimizer infers a filter that splits the text a second time.
+    rows = base.select(key, "_t", "_w", F.posexplode_outer("_w").alias("_i", "_s")).filter("_i is not null")
     n = F.size("_w")
     before = F.when(F.col("_i") > 0, F.greatest(F.lit(0), F.try_element_at("_w", F.greatest(F.col("_i"), F.lit(1)))["end"] - F.col("_s.start"))).otherwise(0)
     after = F.when(F.col("_i") < n - 1, F.greatest(F.lit(0), F.col("_s.end") - F.try_element_at("_w", F.least(F.col("_i") + 2, n))["start"])).otherwise(0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from finloom.functions.text import terms
-from finloom.plans.runtime import small, spread
+from finloom.plans.runtime import few, small, spread
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -31,7 +31,8 @@ def build_index(docs: DataFrame, doc: str, *fields: str) -> Index:
     words = F.concat(*[terms(f) for f in fields]) if len(fields) > 1 else terms(fields[0])
     base = spread(docs.select(F.col(doc).alias("doc"), *fields)).select("doc", words.alias("w"))
     lengths = base.select("doc", F.size("w").alias("n_terms"))
-    postings = base.select("doc", F.size("w").alias("n_terms"), F.explode("w").alias("term")).groupBy("term", "doc", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
+    # An outer explode: for an inner one the optimizer infers a filter that computes the terms a second time.
+    postings = base.select("doc", F.size("w").alias("n_terms"), "w").select("doc", "n_terms", F.explode_outer("w").alias("term")).filter("term is not null").groupBy("term", "doc", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_terms"))
     return Index(postings, lengths, stats)
 
@@ -42,13 +43,14 @@ def bm25(index: Index, queries: DataFrame, query: str, text: str, match_all: boo
     All queries are answered by one plan. Repeated terms of a query count once; a query without terms has no rows. The
     query terms are broadcast if a count shows them to be few, so only postings of asked terms are shuffled."""
     asked = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(terms(text))).alias("term"))
-    hits = index.postings.join(small(asked.select("term").distinct()), "term", "left_semi")
+    words = asked.select("term").distinct()
+    hits = index.postings.join(small(words), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs, avg_terms = (index.stats.select(c).scalar() for c in ("n_docs", "avg_terms"))
     idf = F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.select("term", idf.alias("idf"), avg_terms.alias("avg_terms")).withColumn("idf", F.when(F.col("idf") > 0, F.col("idf")).otherwise(F.lit(LEAST_IDF)))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("avg_terms")))
-    scored = hits.join(small(weights), "term").select("doc", "term", part.alias("part"))
+    scored = hits.join(few(weights, words, 1), "term").select("doc", "term", part.alias("part"))
     found = scored.join(small(asked), "term").groupBy("query", "doc").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("matched"))
     if match_all:
         found = found.join(asked.groupBy("query").agg(F.count(F.lit(1)).alias("asked")), "query").filter("matched = asked").drop("asked")

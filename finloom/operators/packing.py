@@ -67,7 +67,7 @@ def pack_items(items: DataFrame, group: list[str], item: str, size: str, capacit
     base = items.select(row.alias("_row"), F.col(item).alias("_item"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("int").alias("_size"), *[text(c).alias(g) for g, c in zip(gs, group, strict=True)])
     full = F.floor(F.greatest(F.col("_size") - 1, F.lit(0)) / capacity).cast("int")
     cuts = F.transform(F.sequence(F.lit(0), full), lambda k: F.struct((k + 1).cast("int").alias("no"), F.least(F.lit(capacity), F.col("_size") - k * capacity).cast("int").alias("size")))
-    pieces = base.withColumn("_p", F.explode(cuts)).withColumns({"piece_no": F.col("_p.no"), "piece_size": F.col("_p.size"), "_salt": F.pmod(F.xxhash64(F.col("_item").cast("string"), F.col("_p.no")), F.lit(SALTS)).cast("int")}).drop("_p", "_size")
+    pieces = base.withColumn("_p", F.explode_outer(cuts)).withColumns({"piece_no": F.col("_p.no"), "piece_size": F.col("_p.size"), "_salt": F.pmod(F.xxhash64(F.col("_item").cast("string"), F.col("_p.no")), F.lit(SALTS)).cast("int")}).drop("_p", "_size")
 
     count = pieces.groupBy(*gs, "piece_size", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     lengths = count.filter("piece_size > 0").groupBy(*gs, "piece_size").agg(F.sum("_n").alias("_n"))
