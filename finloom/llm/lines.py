@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finloom.plans.runtime import small, stored
+from finloom.plans.runtime import small, spread, stored
 
 LEAST_ROWS, LEAST_SHARE, LEAST_LETTERS = 5, 0.03, 12
 _END = 20
@@ -79,21 +79,22 @@ def repeated_lines(docs: DataFrame, source: str = "ticker", row: str = "chunk_ke
     own, several like lines in one row count once and are all reported. Empty tables give an empty result; further
     columns are ignored. All counts are exact and over all rows.
     """
-    base = docs.select(F.col(source).cast("string").alias("src"), F.col(row).cast("bigint").alias("rid"), F.col(text).alias("txt")).filter("src is not null")
+    base = spread(docs.select(F.col(source).cast("string").alias("src"), F.col(row).cast("bigint").alias("rid"), F.col(text).alias("txt")).filter("src is not null"))
     least = (
         base.groupBy("src").agg(F.count(F.lit(1)).alias("n")).select("src", F.xxhash64("src").alias("h"), F.greatest(F.lit(least_rows), F.ceil(F.col("n") * least_share - 1e-9)).alias("least"))
     )
     least = small(stored(least, "least"))
     # The keys of all lines are computed once and kept; of a line that may begin with a label, its beginning too.
     marked = F.when((F.locate(":", F.col("line")) > 0) | (F.locate("--", F.col("line")) > 0) | F.ltrim("line").substr(1, 1).isin("<", "["), F.left("line", F.lit(110)))
-    lines = base.select("src", "rid", F.posexplode(F.split("txt", "\n")).alias("i", "line")).select("src", "rid", "i", marked.alias("head"), line_key(F.col("line")).alias("key")).filter(F.length("key") >= least_letters)
+    # Outer explodes: for inner ones the optimizer infers filters that compute what is exploded a second time.
+    lines = base.select("src", "rid", F.posexplode_outer(F.split("txt", "\n")).alias("i", "line")).select("src", "rid", "i", marked.alias("head"), line_key(F.col("line")).alias("key")).filter(F.length("key") >= least_letters)
     lines = stored(lines, "keys")
 
-    halves = lines.select(F.xxhash64("src").alias("h"), F.explode(_halves(F.col("src"), F.col("key"), True)).alias("half"))
+    halves = lines.select(F.xxhash64("src").alias("h"), F.explode_outer(_halves(F.col("src"), F.col("key"), True)).alias("half"))
     heavy = halves.groupBy("h", "half").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 2 >= least_rows).join(least, "h").filter(F.col("n") * 2 >= F.col("least")).select("half").distinct()
     heavy = small(stored(heavy, "halves"))
     left = (
-        lines.withColumn("half", F.explode(_halves(F.col("src"), F.col("key"), True)))
+        lines.withColumn("half", F.explode_outer(_halves(F.col("src"), F.col("key"), True)))
         .join(heavy, "half", "left_semi")
         .filter(F.col("head").isNull() | ~F.col("head").rlike(SPOKEN))
         .select("src", "rid", "i", "key")
@@ -106,8 +107,8 @@ def repeated_lines(docs: DataFrame, source: str = "ticker", row: str = "chunk_ke
     boxes = stored(left.select("src", "key", high.alias("box"), low.cast("int").alias("low")).groupBy("src", "key", "box").agg(F.collect_set("low").alias("lows")), "boxes")
     keys = stored(boxes.groupBy("src", "key").agg(F.sum(F.size("lows")).alias("n")).withColumn("mended", _mend_months(F.col("key"))), "keys")
     # Families: keys within one mistake of a key that occurs at least twice (each key is in its own family).
-    part = lambda df: df.withColumn("half", F.explode(_halves(F.col("src"), F.col("mended"), False)))
-    centres = keys.groupBy("src", "mended").agg(F.sum("n").alias("n")).filter("n >= 2").select("src", F.col("mended").alias("centre"), F.explode(_halves(F.col("src"), F.col("mended"), False)).alias("half"))
+    part = lambda df: df.withColumn("half", F.explode_outer(_halves(F.col("src"), F.col("mended"), False)))
+    centres = keys.groupBy("src", "mended").agg(F.sum("n").alias("n")).filter("n >= 2").select("src", F.col("mended").alias("centre"), F.explode_outer(_halves(F.col("src"), F.col("mended"), False)).alias("half"))
     near = part(keys).join(centres, ["src", "half"]).filter(F.levenshtein("mended", "centre", 1) >= 0).select("src", "key", "n", "centre").distinct()
     enough = near.groupBy("src", "centre").agg(F.sum("n").alias("n")).join(least.select("src", "least"), "src").filter("n >= least").select("src", "centre", "least")
     near = stored(near.join(enough, ["src", "centre"]), "near")
