@@ -87,8 +87,9 @@ def repeated_lines(docs: DataFrame, source: str = "ticker", row: str = "chunk_ke
     # The keys of all lines are computed once and kept; of a line that may begin with a label, its beginning too.
     marked = F.when((F.locate(":", F.col("line")) > 0) | (F.locate("--", F.col("line")) > 0) | F.ltrim("line").substr(1, 1).isin("<", "["), F.left("line", F.lit(110)))
     # Outer explodes: for inner ones the optimizer infers filters that compute what is exploded a second time.
-    lines = base.select("src", "rid", F.posexplode_outer(F.split("txt", "\n")).alias("i", "line")).select("src", "rid", "i", marked.alias("head"), line_key(F.col("line")).alias("key")).filter(F.length("key") >= least_letters)
-    lines = stored(lines, "keys")
+    lines = base.select("src", "rid", F.posexplode_outer(F.split("txt", "\n")).alias("i", "line")).select("src", "rid", "i", marked.alias("head"), line_key(F.col("line")).alias("key"))
+    # Filtered behind the table: before it, the filter would compute every key a second time.
+    lines = stored(lines, "keys").filter(F.length("key") >= least_letters)
 
     halves = lines.select(F.xxhash64("src").alias("h"), F.explode_outer(_halves(F.col("src"), F.col("key"), True)).alias("half"))
     heavy = halves.groupBy("h", "half").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 2 >= least_rows).join(least, "h").filter(F.col("n") * 2 >= F.col("least")).select("half").distinct()
