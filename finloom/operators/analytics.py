@@ -11,10 +11,12 @@ POSITIVE = "accelerated expanded improved raised recovered outpaced strong growt
 NEGATIVE = "lowered trimmed postponed absorbed underestimated impairment write-down deficit loss losses weak decline declined fell risk shortfall churn lawsuit".split()
 
 
-def sentiment(text: str | Column, head: int = 2000) -> Column:
-    """struct<label, score> of a text's first ``head`` characters by counted words: score = |p - n| / (p + n), label by
-    the majority; neutral with 0 where neither or both equally occur. The stand-in for a model."""
-    col = F.substring(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), 1, head)
+def sentiment(text: str | Column, head: int | None = None) -> Column:
+    """struct<label, score> of a text by counted words: score = |p - n| / (p + n), label by the majority; neutral with 0
+    where neither or both equally occur. The whole text counts; ``head`` bounds it to so many characters, as a plugged-in
+    model may need. The stand-in for a model."""
+    col = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    col = col if head is None else F.substring(col, 1, head)
     words = F.split(col, "[^a-z-]+")
     count = lambda vocab: F.size(F.filter(words, lambda w: w.isin(vocab)))
     p, n = count(POSITIVE), count(NEGATIVE)
