@@ -51,4 +51,5 @@ class SearchConfig:
         return self.lexical_weight / total, self.dense_weight / total
 
     def fetch(self, k: int) -> int:
-        return min(self.overfetch * k, self.max_fetch)
+        """Rows of a leg for k results: the bounded over-fetch, never less than k."""
+        return max(k, min(self.overfetch * k, self.max_fetch))

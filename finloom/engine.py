@@ -57,7 +57,7 @@ class Engine:
     def retrieve(self, queries: DataFrame, k: int = 5, where: dict | None = None, rescore: Callable | None = None) -> DataFrame:
         """The best k with their texts. ``rescore(df) -> df`` may add a column ``rescored`` to the pool (a model, rules);
         then that decides, the fused rank breaking ties."""
-        n = min(self.config.pool, 4 * k)
+        n = max(k, min(self.config.pool, 4 * k))
         pool = few(self.search(queries, n, where), queries, n)
         rows = self.chunks.withColumnRenamed(self.key, "doc").join(pool, "doc").join(small(queries.select("query", "question")), "query")
         rows = rescore(rows) if rescore else rows.withColumn("rescored", F.col("score"))

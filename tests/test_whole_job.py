@@ -11,3 +11,13 @@ def test_sentiment_reads_the_whole_text(spark):
     assert got == {0: ("positive", 1.0), 1: ("negative", 0.5), 2: ("negative", 1.0)}
     bounded = {r.i: r.s.label for r in df.select("i", analytics.sentiment("t", head=2000).alias("s")).collect()}
     assert bounded == {0: "neutral", 1: "positive", 2: "neutral"}
+
+
+def test_no_cap_below_the_rows_asked_for(spark):
+    from finloom.engine import Engine
+
+    chunks = spark.createDataFrame([(f"c{i:03}", f"freight cost {i}", "ABC", "10-K") for i in range(150)], "chunk_id string, text string, ticker string, doc_type string")
+    q = spark.createDataFrame([(1, "freight cost")], "query int, question string")
+    e = Engine(chunks)
+    assert e.retrieve(q, 50).count() == 50 and e.lexical(q, e.config.fetch(120)).count() == 120 and e.search(q, 120).count() == 120
+    assert [e.config.fetch(k) for k in (5, 10, 34, 120)] == [15, 30, 100, 120]
