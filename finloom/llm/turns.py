@@ -1,9 +1,10 @@
 """Spoken transcripts into clean speaker turns.
 
-Labels are found at the starts of lines, stripped of time marks and notes, and read as names. Within a row, labels fall
-into phonetic blocks by surname; those that can name the same person become one speaker. The speakers are then assigned
-at least cost to the transcript's roster, whose spellings are the most frequent ones of the ticker's whole set of
-transcripts in each phonetic block; the roster gives the speaker's clean name.
+Labels are found at the starts of lines, stripped of time marks and notes, and read as names. Within a row, each label
+joins the person that it is nearest to in edits, the fuller names first; then those who are nearest to the same person of
+the transcript's roster become one speaker, and the speakers are numbered in the order of the text. The roster's
+spellings are the most frequent ones of the ticker's whole set of transcripts in each phonetic block; speakers are
+assigned to it at least cost for their clean names.
 """
 
 from __future__ import annotations
@@ -136,12 +137,31 @@ class Speakers:
         for x, n in sorted(((x, n) for x, n in seen if n), key=lambda p: vague(p[1])):
             self.by_label[x] = self._person(n)
 
+    def meet(self, roster: list[str]) -> None:
+        """Those whose one nearest name of the roster is the same become one person, whatever the order of their labels."""
+        refs = [n for n in dict.fromkeys(map(parse, roster)) if n]
+        one: dict[Name, Person] = {}
+        same: dict[Person, Person] = {}
+        for p in self.people if len(self.people) > 1 else ():
+            costs = [_same(p, r) for r in refs]
+            least = min(costs, default=9.0)
+            if least < 5 and costs.count(least) == 1:
+                q = one.setdefault(refs[costs.index(least)], p)
+                if q is not p:
+                    q.names += [n for n in p.names if n not in q.names]
+                    same[p] = q
+        if same:
+            self.people = [p for p in self.people if p not in same]
+            self.by_label = {x: same.get(p, p) for x, p in self.by_label.items()}
+            self.first = same.get(self.first, self.first)
+
     def of(self, who: str) -> Person:
         return self.operator if who == "operator" else self.by_label.get(who) or self.by_label.setdefault(who, Person(None))
 
 
-def turns(text: str | None, speaker: str | None, gone: frozenset[int] | set[int] = frozenset()) -> list[tuple[Person, str, int]]:
-    """(person, clean text, words) of every turn; speakers are numbered in ``Person.no``."""
+def turns(text: str | None, speaker: str | None, gone: frozenset[int] | set[int] = frozenset(), roster: list[str] | None = None) -> list[tuple[Person, str, int]]:
+    """(person, clean text, words) of every turn; speakers are numbered in ``Person.no``. Labels of one person of the
+    ``roster`` are one speaker."""
     if not text:
         return []
     parts: list[tuple[str | None, str]] = []
@@ -160,6 +180,7 @@ def turns(text: str | None, speaker: str | None, gone: frozenset[int] | set[int]
             parts.append(label(_SPAN.sub(" ", piece)))
     people = Speakers(speaker)
     people.learn([w for w, _ in parts if w])
+    people.meet(roster or [])
     now, out, n_people = people.first, [], 0
     for who, rest in parts:
         pieces = said(rest).split()
@@ -236,7 +257,7 @@ def speaker_turns(chunks: DataFrame, lines: DataFrame | None = None, row: str =
         for b in batches:
             cols: list[list] = [[] for _ in range(8)]
             for key, text, who, role, phase, gone_, known in zip(*(b.column(c).to_pylist() for c in (row, "text", "speaker", "speaker_role", "phase", "_gone", "_roster")), strict=True):
-                got = turns(text, who, frozenset(gone_ or ()))
+                got = turns(text, who, frozenset(gone_ or ()), known)
                 clean = clean_names([p for p, _, _ in got], known or [])
                 first = parse(who) if who else None
                 for k, (p, t, n) in enumerate(got, 1):
