@@ -158,10 +158,10 @@ def link_names(table: DataFrame, col: str = "speaker") -> DataFrame:
     as_b = lambda df, *keys: df.select(*keys, *[F.col("s" if c == "surname" and "surname" not in df.columns else c).alias(f"b_{c}") for c in ("id", "given", "initials", "surname", "firm", "n")])
     pairs = stored(asking.join(as_b(heads, F.col("s"), F.col("full")), ["s", "full"]).drop("s", "full"), "pairs")
 
-    # Initials meet the most frequent full name, and the most frequent form with initials, of (surname, initial).
-    first = lambda df, s, i: df.groupBy(F.col(s).alias("s"), F.left(i, F.lit(1)).alias("i")).agg(F.max_by(F.struct("id", "given", "initials", F.col(s).alias("surname"), "firm", "n"), F.struct("n", "id")).alias("h")).select("s", "i", "h.*")
+    # Initials meet, of (surname, initial), the most frequent form of every full given name and of every string of initials.
+    first = lambda df, s, i, *per: df.groupBy(F.col(s).alias("s"), F.left(i, F.lit(1)).alias("i"), *per).agg(F.max_by(F.struct("id", "given", "initials", F.col(s).alias("surname"), "firm", "n"), F.struct("n", "id")).alias("h")).select("s", "i", "h.*")
     initial = merged.filter("given = '' and initials <> ''")
-    tops = first(heads, "s", "full").unionByName(first(heads, "s", "given")).unionByName(first(initial, "surname", "initials"))
+    tops = first(heads, "s", "full", F.col("full").alias("_per")).unionByName(first(heads, "s", "given", F.col("given").alias("_per"))).unionByName(first(initial, "surname", "initials", F.col("initials").alias("_per")))
     pairs = pairs.unionByName(met(initial.withColumn("i", F.left("initials", F.lit(1))), "surname", "s").join(as_b(tops, "s", "i"), ["s", "i"]).select(*pairs.columns))
 
     firms = merged.filter("firm <> ''")
@@ -179,15 +179,28 @@ def link_names(table: DataFrame, col: str = "speaker") -> DataFrame:
     better = (full("b_") > full("")) | ((full("b_") == full("")) & ((F.col("b_n") > F.col("n")) | ((F.col("b_n") == F.col("n")) & (F.col("b_id") < F.col("id")))))
     pairs = pairs.filter((F.col("id") != F.col("b_id")) & better).dropDuplicates(["id", "b_id"])
     pairs = pairs.withColumn("cost", apart("given", "initials", "surname", "firm", "b_given", "b_initials", "b_surname", "b_firm")).filter("cost < 5")
-    best = pairs.groupBy("id").agg(F.min_by("b_id", F.struct("cost", -F.col("b_n"), "b_id")).alias("up"))
-    tree = stored(merged.join(best, "id", "left").select("id", "n", "given", "initials", "surname", "firm", F.coalesce("up", "id").alias("up")), "tree")
-    # Follow the pointers; each round doubles their reach.
-    while True:
-        step = tree.join(tree.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up").select(*[c for c in tree.columns if c != "up"], F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved"))
-        step = stored(step, "tree")
-        tree = step.drop("moved")
-        if not step.filter("moved").limit(1).count():
-            break
+    pairs = stored(pairs, "costs")
+
+    def follow(best: DataFrame) -> DataFrame:
+        """Every form with the end of its pointers; each round doubles their reach."""
+        tree = stored(merged.join(best, "id", "left").select("id", "n", "given", "initials", "surname", "firm", F.coalesce("up", "id").alias("up")), "tree")
+        while True:
+            step = tree.join(tree.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up").select(*[c for c in tree.columns if c != "up"], F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved"))
+            step = stored(step, "tree")
+            tree = step.drop("moved")
+            if not step.filter("moved").limit(1).count():
+                return tree
+
+    of_initials = (F.col("given") == "") & (F.col("firm") == "")
+    best = pairs.filter(~of_initials).groupBy("id").agg(F.min_by("b_id", F.struct("cost", -F.col("b_n"), "b_id")).alias("up"))
+    bearers = follow(best).select(F.col("id").alias("b_id"), F.col("up").alias("b_root"))
+    # Initials go to the nearest, full names before initials and their own initials before others; where these are
+    # different bearers they stay alone.
+    asked = pairs.filter(of_initials).join(bearers, "b_id").withColumn("far", F.struct("cost", F.when(F.col("b_given") != "", 0).when(F.col("b_initials") == F.col("initials"), 1).otherwise(2).alias("kind")))
+    asked = asked.join(asked.groupBy("id").agg(F.min("far").alias("least")), "id").filter("far = least")
+    asked = asked.groupBy("id").agg(F.min("far.kind").alias("kind"), F.count_distinct("b_root").alias("bearers"), F.collect_set("b_initials").alias("all"), F.max_by("b_initials", F.length("b_initials")).alias("longest"), F.min_by("b_id", F.struct(-F.col("b_n"), "b_id")).alias("up"))
+    asked = asked.filter(F.when(F.col("kind") == 0, F.col("bearers") == 1).otherwise(F.forall("all", lambda x: F.col("longest").startswith(x))))
+    tree = follow(best.unionByName(asked.select("id", "up")))
     # A lone surname belongs to its bearer where there is only one.
     lone = tree.filter("firm = '' and initials = ''")
     roots = tree.filter("firm = '' and initials <> '' and id = up").select(F.col("surname").alias("near"), F.col("id").alias("root"))
