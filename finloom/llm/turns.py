@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finloom.functions.names import Name, assign, cost, parse, plain, soundex
+from finloom.llm.names import Name, assign, cost, parse, plain, soundex
 from finloom.llm.lines import repeated_lines
 
 # What transcribers note between brackets; hesitation and listening noises; roles that speak.

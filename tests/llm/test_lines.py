@@ -1,7 +1,7 @@
 import random
 import re
 
-from finloom.functions.names import distance
+from finloom.llm.names import distance
 from finloom.llm.lines import LEAST_ROWS, LEAST_SHARE, repeated_lines, without_lines
 
 
