@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from finloom.functions.text import token_count
-from finloom.operators import name_variants, packing, splitting
-from finloom.plans.runtime import spread, table
-from finloom.queries import QUERIES, SQL, query
+from finloom.queries import QUERIES, SQL
 from finloom.queries import records as _records  # noqa: F401
 from finloom.queries import retrieval
 from finloom.queries import text as _text  # noqa: F401
@@ -16,33 +10,3 @@ from finloom.queries import text as _text  # noqa: F401
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]
 
 FLAGSHIP = retrieval.hybrid_topk
-
-
-@query()
-def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_variants.link_names(table(spark, sf_dir, "chunks"))
-
-
-@query()
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_variants.same_name_pairs(p4_links(spark, sf_dir))
-
-
-@query()
-def p2_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each chunk_id once (its latest row), sized by its true token count, packed per ticker and chunk_type."""
-    cols = ["chunk_id", "ticker", "chunk_type", "source_units", "chunked_at", "chunk_key"]
-    rows = spread(table(spark, sf_dir, "chunks").select(*cols, "text")).select(*cols, token_count("text").cast("int").alias("n_tokens"))
-    latest = rows.withColumn("chunk_id", F.coalesce("chunk_id", F.concat(F.lit("#"), "chunk_key"))).groupBy("chunk_id").agg(F.max_by(F.struct("ticker", "chunk_type", "source_units", "n_tokens"), F.struct("chunked_at", "chunk_key")).alias("c"))
-    packed = packing.pack_items(latest.select("chunk_id", "c.*"), ["ticker", "chunk_type"], "chunk_id", "n_tokens")
-    return packed.select("ticker", "chunk_type", "container_no", "chunk_id", "piece_no", "piece_size", "n_tokens", "source_units")
-
-
-@query()
-def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split_oversized(table(spark, sf_dir, "chunks"))
-
-
-@query()
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_pieces(spark, sf_dir).select("chunk_key").distinct()

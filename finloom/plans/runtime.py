@@ -34,9 +34,13 @@ def session(app: str = "finloom", cores: str = "*", shuffle_partitions: int = 8,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only on a local master where it is unset,
+    as in tests. On a cluster without the setting this is an error: no folder of one machine would do."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         where = tempfile.mkdtemp(prefix="finloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext.getCheckpointDir():
