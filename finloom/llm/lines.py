@@ -1,13 +1,15 @@
-"""Lines that one source repeats across its documents, found with bitmaps of the documents that hold them.
+"""Lines that one source repeats across its documents, found with compressed bitmaps of the documents that hold them.
 
 A line's key is its letters in lower case, without dates, so that lines that differ in case, spacing, punctuation,
-leading marks, numbers or dates share a key. Per source a key's documents are a bitmap; the bitmaps of keys within one
-mistaken character of each other are united, their exact cardinalities held against the threshold, and each line is
-deleted if its document's bit is set in a bitmap that passed.
+leading marks, numbers or dates share a key. Per source a key's documents are a bitmap in blocks of 32,768 rows, each an
+array where it holds few rows and a bitset where it holds many; the bitmaps of keys within one mistaken character of
+each other are united, their exact cardinalities held against the threshold, and each line is deleted if its document is
+in a bitmap that passed.
 
 What makes that cheap: a line and its variants with one mistake agree in one half of their letters (or in 20 letters at
-one end), so a key that belongs to a repeated family has a half that stands in at least half as many lines. Counting the
-halves, as hashes and with a partial aggregation before the shuffle, leaves few lines for the exact steps.
+one end), so a repeated family has a half that stands in at least half as many lines. Counting the halves, as hashes and
+with a partial aggregation before the shuffle, leaves few lines for the exact steps. Variants meet on all but one of 24
+blocks of their letters, so what meets is nearly always alike, however many lines begin or end in the same way.
 """
 
 from __future__ import annotations
@@ -17,8 +19,12 @@ from pyspark.sql import functions as F
 
 from finloom.plans.runtime import small, spread, stored
 
-LEAST_ROWS, LEAST_SHARE, LEAST_LETTERS = 5, 0.03, 12
-_END = 20
+LEAST_ROWS, LEAST_SHARE = 5, 0.03
+_END, _BLOCKS = 20, 24
+#: Rows from which a block's container is a bitset (4 KB) rather than an array (2 bytes a row as a compressed column).
+ARRAY_ROWS = 1024
+#: Parts into which the lines of a key are split where the repeated keys are too many to broadcast.
+SALTS = 32
 
 # Names of months and days as they are written in dates (by first letters, which Java matches faster).
 DATES = r"(?:j(?:an(?:uary)?|une?|uly?)|feb(?:ruary)?|ma(?:r(?:ch)?|y)|a(?:pr(?:il)?|ug(?:ust)?)|s(?:ept?(?:ember)?|aturday|unday)|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|monday|t(?:ues|hurs)day|wednesday|friday)"
@@ -31,8 +37,19 @@ _ROLE = r"(?i:(?:conference )?operator|moderator|coordinator)"
 SPOKEN = (
     rf"^\s*{_TIME}?\s*(?:>>\s*)?(?:[QA]\s*-\s*)?(?:"
     rf"<(?:{_NAME}|{_ROLE})>|\[(?:{_NAME}|{_ROLE})\]|(?:{_NAME}|{_ROLE})(?:\s*\([^)]*\)|\s+--[^:]{{1,60}})?:|{_ROLE}\s+--|"
-    r"[^:]{1,60}:\s*(?:[\[({<*]+[\p{L} .]{1,30}[\])}>*]+\s*)+$)"
+    r"[^:]{1,60}:\s*+(?:[\[\](){}<>*]++[\p{L} .]{1,30}+)+[\])}>*]++\s*$)"
 )
+# Words that make a head before a colon a notice's and nobody's name; words of courtesy, of which a line
+# that holds no others is said by somebody.
+_NOTICE = r"(?i)^[^:]*\b(?:statements?|contacts?|harbou?r|disclaimer|notice|copyright|disclosures?|replay|webcast|website|reminder|disclosure)\b[^:]*:"
+_COURTESY = "thank thanks you your very much so yes yeah yep no nope okay ok right sure great good morning afternoon evening day everyone everybody all hello hi welcome please go ahead got it perfect absolutely exactly correct understood and bye goodbye take care that that's is helpful fair enough again i see".split()
+_COURTEOUS = rf"(?i)^(?:[^\p{{L}}]*+(?:{'|'.join(sorted(_COURTESY, key=len, reverse=True))})(?![\p{{L}}'’]))++[^\p{{L}}]*+$"
+
+
+def said(line: Column) -> Column:
+    """Whether somebody says the line: it begins with a speaker's label, or all its words are words of courtesy."""
+    marked = (F.locate(":", line) > 0) | (F.locate("--", line) > 0) | F.ltrim(line).substr(1, 1).isin("<", "[")
+    return F.coalesce((marked & line.rlike(SPOKEN) & ~line.rlike(_NOTICE)) | line.rlike(_COURTEOUS), F.lit(False))
 
 
 def line_key(line: Column) -> Column:
@@ -43,21 +60,31 @@ def line_key(line: Column) -> Column:
     return F.regexp_replace(low, rf"[^\p{{L}}]+(?:{DATES}(?:[^\p{{L}}]+|$))*", "")
 
 
-def _halves(source: Column, key: Column, ends: bool) -> Column:
-    """Hashes of parts of the key of which one survives any single mistake. ends: long keys by 20 letters at either
-    end (for counting), else by true halves (for comparing)."""
+def _halves(source: Column, key: Column) -> Column:
+    """Hashes of parts of the key of which one survives any single mistake: long keys by 20 letters at either end, short
+    ones by true halves."""
     n = F.length(key)
     part = lambda side, k: F.xxhash64(source, F.lit(side), F.left(key, k) if side == "l" else F.right(key, k))
     true = []
     for b in (n, n - 1):
         half = F.floor(b / 2).cast("int")
         true += [part("l", half), part("r", b - half)]
-    if not ends:
-        return F.array_distinct(F.array(*true))
     far = [part("l", F.lit(_END)), part("r", F.lit(_END))]
     return F.when(n > 2 * _END, F.array(*far)).when(n == 2 * _END - 1, F.array(*true, far[0])).when(n == 2 * _END, F.array(*true)).otherwise(F.array(*true))
 
 
+def _all_but_one(source: Column, key: Column) -> Column:
+    """Hashes of the key without one of its blocks, for each block: two keys of two letters or more that one mistake
+    turns into each other share one. Blocks are counted over the shorter one's letters (the key's own or one less)."""
+
+    def without_each(b: Column) -> Column:
+        wide = F.ceil(b / _BLOCKS).cast("int")
+        one = lambda j: F.xxhash64(source, b, j, F.substring(key, F.lit(1), j * wide), F.right(key, F.greatest(b - (j + 1) * wide, F.lit(0))))
+        return F.when(b > 1, F.transform(F.sequence(F.lit(0), F.ceil(b / wide).cast("int") - 1), one)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.concat(without_each(F.length(key)), without_each(F.length(key) - 1)))
+
+
 def _mend_months(key: Column) -> Column:
     """Month names with one mistaken letter, too, are left out of a key."""
     ways = []
@@ -70,64 +97,84 @@ def _mend_months(key: Column) -> Column:
     return F.regexp_replace(key, "|".join(dict.fromkeys(ways)), "")
 
 
-def repeated_lines(docs: DataFrame, source: str = "ticker", row: str = "chunk_key", text: str = "text", least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE, least_letters: int = LEAST_LETTERS) -> DataFrame:
+def _families(keys: DataFrame, least: DataFrame) -> DataFrame:
+    """(src, key, centre, least): keys (src, key, n, mended) by family, the keys within one mistake of its centre.
+
+    A spelling is a centre if its family stands in ``least`` rows by the sum of the counts; one that stands once, only
+    if no spelling near it that stands more often has such a family."""
+    spelt = stored(keys.groupBy("src", "mended").agg(F.sum("n").alias("n")), "spelt")
+    blocks = spelt.withColumn("block", F.explode(_all_but_one(F.col("src"), F.col("mended"))))
+    parts = lambda a, b: blocks.select("src", "block", F.col("mended").alias(a), F.col("n").alias(b))
+    met = parts("centre", "c").join(parts("mended", "n"), ["src", "block"]).filter((F.col("centre") != F.col("mended")) & (F.levenshtein("centre", "mended", 1) >= 0))
+    met = met.select("src", "centre", "c", "mended", "n").distinct().unionByName(spelt.select("src", F.col("mended").alias("centre"), F.col("n").alias("c"), "mended", "n"))
+    met = stored(met, "met")
+    total = met.groupBy("src", "centre").agg(F.sum("n").alias("total"), F.max("c").alias("c")).join(least.select("src", "least"), "src").filter("total >= least").select("src", "centre", "c", "least")
+    total = stored(total, "total")
+    often = total.filter("c > 1").select("src", F.col("centre").alias("mended"))
+    beside = met.filter("c = 1").join(often, ["src", "mended"], "left_semi").select("src", "centre").distinct()
+    centres = total.join(beside, ["src", "centre"], "left_anti").select("src", "centre", "least")
+    return met.join(centres, ["src", "centre"]).join(keys.select("src", "mended", "key"), ["src", "mended"]).select("src", "key", "centre", "least")
+
+
+def repeated_lines(docs: DataFrame, source: str = "ticker", row: str = "chunk_key", text: str = "text", least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE) -> DataFrame:
     """Distinct (row, line_no), ``line_no`` from 1, of the lines repeated within their source.
 
     A line is repeated if lines alike stand in at least ``least_rows`` rows and ``least_share`` of the source's rows.
-    Rows with a null source or text have none; so have lines of fewer than ``least_letters`` letters and lines that
-    begin with a speaker's label. ``row`` must be a unique non-negative integer; repeated texts count as rows of their
-    own, several like lines in one row count once and are all reported. Empty tables give an empty result; further
-    columns are ignored. All counts are exact and over all rows.
+    Rows with a null source or text have none; so have lines without a letter, lines that begin with a speaker's label
+    and lines of nothing but courtesies. A line of one letter is like itself only. ``row`` must be a unique non-negative
+    integer; repeated texts count as rows of their own, several like lines in one row count once and are all reported.
+    Empty tables give an empty result; further columns are ignored. All counts are exact and over all rows. A family's
+    unmistaken spelling must stand at least once: two lines with different mistakes are two characters apart.
     """
     base = spread(docs.select(F.col(source).cast("string").alias("src"), F.col(row).cast("bigint").alias("rid"), F.col(text).alias("txt")).filter("src is not null"))
     least = (
         base.groupBy("src").agg(F.count(F.lit(1)).alias("n")).select("src", F.xxhash64("src").alias("h"), F.greatest(F.lit(least_rows), F.ceil(F.col("n") * least_share - 1e-9)).alias("least"))
     )
     least = small(stored(least, "least"))
-    # The keys of all lines are computed once and kept; of a line that may begin with a label, its beginning too.
-    marked = F.when((F.locate(":", F.col("line")) > 0) | (F.locate("--", F.col("line")) > 0) | F.ltrim("line").substr(1, 1).isin("<", "["), F.left("line", F.lit(110)))
+    # The keys of all lines are computed once and kept.
     # Outer explodes: for inner ones the optimizer infers filters that compute what is exploded a second time.
-    lines = base.select("src", "rid", F.posexplode_outer(F.split("txt", "\n")).alias("i", "line")).select("src", "rid", "i", marked.alias("head"), line_key(F.col("line")).alias("key"))
+    lines = base.select("src", "rid", F.posexplode_outer(F.split("txt", "\n")).alias("i", "line")).select("src", "rid", "i", said(F.col("line")).alias("said"), line_key(F.col("line")).alias("key"))
     # Filtered behind the table: before it, the filter would compute every key a second time.
-    lines = stored(lines, "keys").filter(F.length("key") >= least_letters)
-
-    halves = lines.select(F.xxhash64("src").alias("h"), F.explode_outer(_halves(F.col("src"), F.col("key"), True)).alias("half"))
-    heavy = halves.groupBy("h", "half").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 2 >= least_rows).join(least, "h").filter(F.col("n") * 2 >= F.col("least")).select("half").distinct()
-    heavy = small(stored(heavy, "halves"))
-    left = (
-        lines.withColumn("half", F.explode_outer(_halves(F.col("src"), F.col("key"), True)))
-        .join(heavy, "half", "left_semi")
-        .filter(F.col("head").isNull() | ~F.col("head").rlike(SPOKEN))
-        .select("src", "rid", "i", "key")
-        .distinct()
-    )
-    left = stored(left, "lines")
-
-    # Array containers: per source and key, the low 15 bits of the rows in each block of 32,768 rows.
+    lines = stored(lines, "keys").filter((F.length("key") > 0) & ~F.col("said")).select("src", "rid", "i", "key")
+
+    count = lines.select(F.xxhash64("src").alias("h"), F.explode_outer(_halves(F.col("src"), F.col("key"))).alias("half")).groupBy("h", "half").agg(F.count(F.lit(1)).alias("n"))
+    count = stored(count.filter("n > 1").join(least.select("h", "least"), "h").select("half", (F.col("n") * 2 >= F.col("least")).alias("heavy")), "halves")
+    heavy = small(count.filter("heavy").select("half").distinct())
+    halves = lines.withColumn("half", F.explode_outer(_halves(F.col("src"), F.col("key"))))
+    first = stored(halves.join(heavy, "half", "left_semi").select("src", "rid", "i", "key").distinct(), "lines")
+    # Variants that share no heavy half with anybody share the other half with one of those lines.
+    beside = first.select("src", "key").distinct().select(F.explode(_halves(F.col("src"), F.col("key"))).alias("half")).join(count.filter("not heavy").select("half"), "half", "left_semi").distinct()
+    beside = small(stored(beside, "beside"))
+    left = stored(halves.join(beside, "half", "left_semi").select("src", "rid", "i", "key").unionByName(first).distinct(), "lines")
+
+    # Containers: per source and key, the rows of each block of 32,768 rows, as an array of their low 15 bits.
     low, high = F.bitmap_bit_position(F.col("rid") + 1), F.bitmap_bucket_number(F.col("rid") + 1)
     boxes = stored(left.select("src", "key", high.alias("box"), low.cast("int").alias("low")).groupBy("src", "key", "box").agg(F.collect_set("low").alias("lows")), "boxes")
     keys = stored(boxes.groupBy("src", "key").agg(F.sum(F.size("lows")).alias("n")).withColumn("mended", _mend_months(F.col("key"))), "keys")
-    # Families: keys within one mistake of a key that occurs at least twice (each key is in its own family).
-    part = lambda df: df.withColumn("half", F.explode_outer(_halves(F.col("src"), F.col("mended"), False)))
-    centres = keys.groupBy("src", "mended").agg(F.sum("n").alias("n")).filter("n >= 2").select("src", F.col("mended").alias("centre"), F.explode_outer(_halves(F.col("src"), F.col("mended"), False)).alias("half"))
-    near = part(keys).join(centres, ["src", "half"]).filter(F.levenshtein("mended", "centre", 1) >= 0).select("src", "key", "n", "centre").distinct()
-    enough = near.groupBy("src", "centre").agg(F.sum("n").alias("n")).join(least.select("src", "least"), "src").filter("n >= least").select("src", "centre", "least")
-    near = stored(near.join(enough, ["src", "centre"]), "near")
-    # Bitset containers: the union of the variants' rows per family, by exact cardinality.
-    unions = boxes.join(near, ["src", "key"]).select("src", "centre", "least", "box", F.explode("lows").alias("low")).groupBy("src", "centre", "least", "box").agg(F.bitmap_construct_agg("low").alias("bits"))
-    unions = stored(unions, "unions")
-    passed = unions.groupBy("src", "centre", "least").agg(F.sum(F.bitmap_count("bits")).alias("n")).filter("n >= least").select("src", "centre")
-    bits = unions.join(passed, ["src", "centre"]).select("src", "centre", "box", "bits")
-    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(low div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
-    hit = (
-        left.withColumns({"box": high, "low": low.cast("int")})
-        .join(near.select("src", "key", "centre"), ["src", "key"])
-        .join(bits, ["src", "centre", "box"])
-        .filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(low % 8 as int))")) != 0)
-    )
+    near = stored(_families(keys, least), "near")
+    # Large containers become bitsets, once; those of a family are united: arrays to one array, bitsets to one bitset.
+    many = F.size("lows") > ARRAY_ROWS
+    dense = boxes.filter(many).join(near.select("src", "key").distinct(), ["src", "key"], "left_semi").select("src", "key", "box", F.explode("lows").alias("low")).groupBy("src", "key", "box").agg(F.bitmap_construct_agg("low").alias("bits"))
+    held = boxes.filter(~many).select("src", "key", "box", "lows", F.lit(None).cast("binary").alias("bits")).unionByName(dense.select("src", "key", "box", F.array().cast("array<int>").alias("lows"), "bits"))
+    unions = held.join(near, ["src", "key"]).groupBy("src", "centre", "least", "box").agg(F.array_distinct(F.flatten(F.collect_list("lows"))).alias("lows"), F.count("bits").alias("dense"), F.bitmap_or_agg("bits").alias("bits"))
+    unions = unions.withColumn("bits", F.when(F.col("dense") > 0, F.col("bits")))
+    unions = stored(unions.withColumn("lows", F.when(F.col("bits").isNull(), F.col("lows")).otherwise(F.filter("lows", lambda x: ~_bit(x)))).drop("dense"), "unions")
+    passed = unions.groupBy("src", "centre", "least").agg(F.sum(F.size("lows") + F.coalesce(F.bitmap_count("bits"), F.lit(0))).alias("n")).filter("n >= least").select("src", "centre")
+    passed = stored(passed, "passed")
+    bits = unions.join(passed, ["src", "centre"], "left_semi").select("src", "centre", "box", "lows", "bits")
+    # The lines of a repeated key meet its families; where those are too many to broadcast, in parts.
+    asked = near.join(passed, ["src", "centre"], "left_semi").select("src", "key", "centre")
+    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")
+    found = left.withColumn("salt", salt).join(small(asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))), ["src", "key", "salt"])
+    hit = found.withColumns({"box": high, "low": low.cast("int")}).join(bits, ["src", "centre", "box"]).filter(F.array_contains("lows", F.col("low")) | F.coalesce(_bit(F.col("low")), F.lit(False)))
     return hit.select(F.col("rid").cast(docs.schema[row].dataType).alias(row), (F.col("i") + 1).cast("int").alias("line_no")).distinct()
 
 
+def _bit(low: Column) -> Column:
+    """Whether the bit ``low`` is set in the bitset ``bits``."""
+    return F.conv(F.hex(F.substring(F.col("bits"), (low / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), (low % 8).cast("int"))) != 0
+
+
 def without_lines(docs: DataFrame, found: DataFrame, row: str = "chunk_key", text: str = "text") -> DataFrame:
     """(row, text) of every row of ``docs``, the found lines deleted and the others as they were; null stays null."""
     gone = found.groupBy(row).agg(F.collect_set("line_no").alias("_gone"))

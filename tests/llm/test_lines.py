@@ -70,3 +70,38 @@ def test_nothing(spark):
     assert repeated_lines(t).count() == 0
     t = spark.createDataFrame([(1, None, None), (2, "A", ""), (3, "A", "x" * 100_000)], "chunk_key bigint, ticker string, text string")
     assert repeated_lines(t).count() == 0 and without_lines(t, repeated_lines(t)).count() == 3
+
+
+def _found(spark, rows):
+    t = spark.createDataFrame(rows, "chunk_key bigint, ticker string, text string")
+    return {(r.chunk_key, r.line_no) for r in repeated_lines(t).collect()}
+
+
+def test_short_lines_notices_and_courtesies(spark):
+    text = "Share this\nRead more\nPage {i} of 10\nQ&A\nThank you.\nYes, thanks.\nOkay\nSafe Harbor Statement: this call holds forecasts\nMedia Contact: press desk\nJane Doe: Right\n12"
+    rows = [(i, "A", text.replace("{i}", str(i))) for i in range(40)]
+    assert _found(spark, rows) == {(i, k) for i in range(40) for k in (1, 2, 3, 4, 8, 9)}
+
+
+def test_a_label_is_judged_on_the_whole_line(spark):
+    long = "Replay of the event: " + "this replay is kept for ninety days on the site of the group " * 4 + "[note]"
+    assert _found(spark, [(i, "A", f"{long} and more\n{'abcdefghij'[i] * 9}") for i in range(10)]) == {(i, 1) for i in range(10)}
+
+
+def test_a_spelling_that_stands_once_is_enough(spark):
+    clean = "the replay remains on our site for a week"
+    wrong = ["xhe replay remains on our site for a week", "the replay remains on our site for a weex", "the replaz remains on our site for a week", "the replay remains on our sitee for a week", "the replay remain on our site for a week"]
+    assert _found(spark, [(i, "A", f"{x}\nunlike {'abcdefg'[i] * 9}") for i, x in enumerate([clean, *wrong])]) == {(i, 1) for i in range(6)}
+
+
+def test_many_lines_that_begin_alike(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(i, "A", "we now turn to the next part of the presentation about " + word(30)) for i in range(3000)]
+    rows += [(3000 + i, "A", "we now turn to the next part of the presentation about the outlook of " + "xyzw"[i % 4] + "ll") for i in range(120)]
+    assert _found(spark, rows) == {(3000 + i, 1) for i in range(120)}
+
+
+def test_large_containers_and_two_families_in_one_row(spark):
+    rows = [(i, "A", "Follow us for the news of the day\nFollow uz for the news of the day" if i % 2 else "Follow us for the news of the day") for i in range(40_000)]
+    assert len(_found(spark, rows)) == 60_000
