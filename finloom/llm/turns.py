@@ -1,16 +1,17 @@
 """Spoken transcripts into clean speaker turns.
 
-Labels are found at the starts of lines, stripped of time marks and notes, and read as names. Within a row, each label
-joins the person that it is nearest to in edits, the fuller names first; then those who are nearest to the same person of
-the transcript's roster become one speaker, and the speakers are numbered in the order of the text. The roster's
-spellings are the most frequent ones of the ticker's whole set of transcripts in each phonetic block; speakers are
-assigned to it at least cost for their clean names.
+Labels are found at the starts of lines, stripped of time marks and notes, and read as names. The roster of a transcript
+holds its people in the spelling that is most frequent for them over all transcripts of the ticker, looked up by phonetic
+block. Within a row the labels are assigned to the roster's people, and to each other where the roster has nobody, at
+least total cost within their phonetic blocks, the fuller names first; labels of one person are one speaker, and the
+speakers are numbered in the order of their turns. Lines that begin with a time mark are put in the order of the marks.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from finloom.llm.names import Name, assign, cost, parse, plain, soundex
 from finloom.llm.lines import repeated_lines
+from finloom.plans.runtime import stored
 
 # What transcribers note between brackets; hesitation and listening noises; roles that speak.
 NOTES = (
@@ -43,6 +45,7 @@ _LABEL = re.compile(
 _ONE_NOTE = re.compile(rf"^(?:{NOTES})$", re.I)
 _IS_ROLE = re.compile(rf"^{_ROLE}$", re.I)
 _HAS = re.compile(r"[^\W_]")
+_OPENS = tuple("[({<0123456789")
 _BREAK = re.compile("[\r\x85\u2028\u2029]+")
 
 
@@ -100,89 +103,152 @@ def said(text: str) -> str:
 
 
 class Person:
-    __slots__ = ("names", "no", "operator")
+    __slots__ = ("names", "blocks", "no", "operator")
 
     def __init__(self, name: Name | None, operator: bool = False):
-        self.names, self.no, self.operator = [name] if name else [], 0, operator
+        self.names, self.blocks, self.no, self.operator = [], set(), 0, operator
+        if name:
+            self.add(name)
+
+    def add(self, name: Name) -> None:
+        if name not in self.names:
+            self.names.append(name)
+            self.blocks |= blocks(name)
+
+
+@lru_cache(maxsize=20_000)
+def blocks(name: Name) -> frozenset[str]:
+    """The phonetic blocks of a name's parts."""
+    return frozenset(soundex(x) for x in (name.surname, name.given, *name.firm) if x)
 
 
 def _same(a: Person, name: Name) -> float:
     return min((cost(x, name) for x in a.names), default=9.0)
 
 
+def _vague(n: Name) -> int:
+    return 0 if n.given or n.firm else 1 if n.initials else 2
+
+
+FAR = 5.0
+
+
+def _assigned(names: list[Name], people: list[Person], alone: bool = False) -> list[tuple[Name, Person]]:
+    """Names and the people they mean: one to one, at least total cost; a name meets the people of its phonetic blocks,
+    or all where those hold nobody near. With ``alone`` a name with two nearest people goes to neither."""
+    costs = []
+    for n in names:
+        near = [_same(p, n) if p.blocks & blocks(n) else FAR for p in people]
+        if min(near) >= FAR:
+            near = [min(_same(p, n), FAR) for p in people]
+        least = min(near)
+        costs.append([FAR] * len(near) if alone and near.count(least) > 1 else [min(c, FAR) for c in near])
+    got = assign([row + [FAR] * len(names) for row in costs])
+    return [(n, people[j]) for n, row, j in zip(names, costs, got, strict=True) if j < len(people) and row[j] < FAR]
+
+
+def place(names: list[Name], roster: list[str]) -> dict[Name, Person]:
+    """Whom each name means. The roster's people come first, in its order, its spellings of one person together."""
+    known: list[Person] = []
+    for r in dict.fromkeys(n for n in map(parse, roster) if n):
+        p = next((p for p in known if _same(p, r) < FAR), None)
+        if p is None:
+            known.append(Person(r))
+        else:
+            p.add(r)
+    spelt = {n: p for p in reversed(known) for n in p.names}
+    out: dict[Name, Person] = {}
+    here: dict[Person, None] = {}
+
+    def join(n: Name, p: Person) -> None:
+        out[n] = p
+        p.add(n)
+        here[p] = None
+
+    for k in range(3):
+        left = [n for n in dict.fromkeys(names) if _vague(n) == k]
+        if k == 0:
+            for n in left:
+                if n in spelt:
+                    join(n, spelt[n])
+        while left := [n for n in left if n not in out]:
+            # Several labels may mean one person: each round assigns one to one, until nobody is near any more.
+            got = _assigned(left, list(here)) if here else []
+            if not got and (others := [p for p in known if p not in here]):
+                got = _assigned(left, others, alone=k > 0)
+            for n, p in got or [(left[0], Person(None))]:
+                join(n, p)
+    return out
+
+
 class Speakers:
-    """The speakers of one row, by first mention."""
+    """The speakers of one row: the people that its labels and its own speaker mean."""
 
-    def __init__(self, first: str | None):
-        self.people: list[Person] = []
-        self.by_label: dict[str, Person] = {}
+    def __init__(self, first: str | None, labels: list[str], roster: list[str]):
         self.operator = Person(None, True)
         name = parse(first) if first else None
-        self.first = self.operator if first and _IS_ROLE.match(first.strip()) else self._person(name) if name else Person(None)
-
-    def _person(self, name: Name) -> Person:
-        best = min(self.people, key=lambda p: _same(p, name), default=None)
-        if best is not None and _same(best, name) < 5:
-            if name not in best.names:
-                best.names.append(name)
-            return best
-        p = Person(name)
-        self.people.append(p)
-        return p
-
-    def learn(self, labels: list[str]) -> None:
-        """Full names first, then initials, then lone surnames, so that the vaguer ones meet the clearer ones."""
-        seen = [(x, parse(x)) for x in dict.fromkeys(labels) if x != "operator"]
-        vague = lambda n: 0 if n.given or n.firm else 1 if n.initials else 2
-        for x, n in sorted(((x, n) for x, n in seen if n), key=lambda p: vague(p[1])):
-            self.by_label[x] = self._person(n)
-
-    def meet(self, roster: list[str]) -> None:
-        """Those whose one nearest name of the roster is the same become one person, whatever the order of their labels."""
-        refs = [n for n in dict.fromkeys(map(parse, roster)) if n]
-        one: dict[Name, Person] = {}
-        same: dict[Person, Person] = {}
-        for p in self.people if len(self.people) > 1 else ():
-            costs = [_same(p, r) for r in refs]
-            least = min(costs, default=9.0)
-            if least < 5 and costs.count(least) == 1:
-                q = one.setdefault(refs[costs.index(least)], p)
-                if q is not p:
-                    q.names += [n for n in p.names if n not in q.names]
-                    same[p] = q
-        if same:
-            self.people = [p for p in self.people if p not in same]
-            self.by_label = {x: same.get(p, p) for x, p in self.by_label.items()}
-            self.first = same.get(self.first, self.first)
+        seen = {x: n for x in dict.fromkeys(labels) if x != "operator" and (n := parse(x))}
+        whom = place(([name] if name else []) + list(seen.values()), roster)
+        self.by_label = {x: whom[n] for x, n in seen.items()}
+        self.first = self.operator if first and _IS_ROLE.match(first.strip()) else whom[name] if name else Person(None)
 
     def of(self, who: str) -> Person:
         return self.operator if who == "operator" else self.by_label.get(who) or self.by_label.setdefault(who, Person(None))
 
 
+def _seconds(mark: str) -> tuple[int, bool]:
+    """The time of a mark and whether it has hours."""
+    got = [int(x) for x in re.findall(r"\d+", re.sub(r"[.,]\d+", "", mark))]
+    return sum(x * 60**k for k, x in enumerate(reversed(got[-3:]))), len(got) > 2
+
+
+def in_time(parts: list[tuple[str | None, str | None, str]]) -> list[tuple[str | None, str]]:
+    """(label, rest) of (time mark, label, rest), in the order of the marks; what has none goes with what it follows. A
+    mark without hours that falls back by more than half an hour begins the next hour."""
+    if not any(m for m, _, _ in parts):
+        return [x[1:] for x in parts]
+    told, at, hours, last = [], -1, 0, -1
+    for mark, *rest in parts:
+        if mark:
+            at, whole = _seconds(mark)
+            if not whole:
+                if at + hours < last - 1800:
+                    hours += 3600
+                at += hours
+            last = at
+        told.append((at, tuple(rest)))
+    return [x for _, x in sorted(told, key=lambda p: p[0])]
+
+
 def turns(text: str | None, speaker: str | None, gone: frozenset[int] | set[int] = frozenset(), roster: list[str] | None = None) -> list[tuple[Person, str, int]]:
     """(person, clean text, words) of every turn; speakers are numbered in ``Person.no``. Labels of one person of the
     ``roster`` are one speaker."""
     if not text:
         return []
-    parts: list[tuple[str | None, str]] = []
-    raw = text.split("\n")
+    parts: list[tuple[str | None, str | None, str]] = []
+    raw, mark = text.split("\n"), None
     for i, line in enumerate(raw, 1):
         if i in gone:
             continue
-        line = line.strip("\r \t\x0b\x0c\x85 ")
-        if not line or _RANGE.match(line):
+        line = line.strip("\r \t\x0b\x0c\x85 ")
+        if not line:
+            continue
+        if _RANGE.match(line):
+            mark = line.split("-")[0]
             continue
         if line.isdigit() and i < len(raw) and _RANGE.match(raw[i]):
             continue
         for piece in _BREAK.split(line) if "\r" in line or not line.isascii() else (line,):
+            if piece[:1] in _OPENS and (m := _TIME.match(piece) or _SPAN.match(piece)):
+                mark = m[0]
             if ":" in piece:
                 piece = _TIME.sub(" ", piece)
-            parts.append(label(_SPAN.sub(" ", piece)))
-    people = Speakers(speaker)
-    people.learn([w for w, _ in parts if w])
-    people.meet(roster or [])
+            parts.append((mark, *label(_SPAN.sub(" ", piece))))
+            mark = None
+    told = in_time(parts)
+    people = Speakers(speaker, [w for w, _ in told if w], roster or [])
     now, out, n_people = people.first, [], 0
-    for who, rest in parts:
+    for who, rest in told:
         pieces = said(rest).split()
         n = sum(map(_COUNTED.__getitem__, pieces))
         if not n:
@@ -284,15 +350,28 @@ def _phase(x: str | None) -> str | None:
 
 
 def roster(chunks: DataFrame) -> DataFrame:
-    """(doc_id, _roster): the people of a transcript in the spelling that is most frequent for them, per ticker and
-    phonetic block, over all its transcripts. Only narrow columns move; counts are exact; no group is collected but a
-    transcript's own people."""
+    """(doc_id, _roster): the people of a transcript in the spelling that is most frequent for them over all transcripts
+    of the ticker, the most frequent first.
+
+    Full names meet those of their phonetic block (surname's sound, first initial) and take the most frequent one near
+    them; different people of a block all stay. Initials stand for the one person of their block, or for nobody. Only
+    narrow columns move; counts are exact; no group is collected but a transcript's own people."""
 
     @F.pandas_udf("block string, full string")
     def read(typed: pd.Series) -> pd.DataFrame:
         got = [parse(x) if x else None for x in typed]
         return pd.DataFrame([(f"{soundex(n.surname)}{n.initials[:1]}", display(n) if n.given else None) if n and not n.firm else (None, None) for n in got], columns=["block", "full"])
 
-    named = chunks.filter("speaker is not null and doc_id is not null").groupBy("ticker", "doc_id", "speaker").agg(F.count(F.lit(1)).alias("n")).withColumn("r", read("speaker")).select("ticker", "doc_id", "n", "r.block", "r.full").filter("block is not null")
-    best = named.filter("full is not null").groupBy("ticker", "block", "full").agg(F.sum("n").alias("n")).groupBy("ticker", "block").agg(F.max_by("full", F.struct("n", "full")).alias("best"))
-    return named.join(best, [named["ticker"].eqNullSafe(best["ticker"]), named["block"] == best["block"]], "left").select("doc_id", F.coalesce("best", "full").alias("name")).filter("name is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("name")).alias("_roster"))
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([cost(parse(x), parse(y)) < FAR for x, y in zip(a, b, strict=True)], dtype="bool")
+
+    typed = chunks.filter("speaker is not null and doc_id is not null").select(F.coalesce("ticker", F.lit("")).alias("ticker"), "doc_id", "speaker").groupBy("ticker", "doc_id", "speaker").agg(F.count(F.lit(1)).alias("n"))
+    named = stored(typed.withColumn("r", read("speaker")).select("ticker", "doc_id", "n", "r.block", "r.full").filter("block is not null"), "named")
+    fulls = named.filter("full is not null").groupBy("ticker", "block", "full").agg(F.sum("n").alias("n"))
+    met = fulls.join(fulls.select("ticker", "block", F.col("full").alias("other"), F.col("n").alias("m")), ["ticker", "block"]).filter("other = full or m > n or (m = n and other < full)").filter(alike("full", "other"))
+    heads = stored(met.groupBy("ticker", "block", "full").agg(F.max(F.struct("m", "other")).alias("h")).select("ticker", "block", "full", F.col("h.other").alias("head"), F.col("h.m").alias("often")), "heads")
+    one = heads.groupBy("ticker", "block").agg(F.min("head").alias("head"), F.max("head").alias("last"), F.max("often").alias("often")).filter("head = last").drop("last")
+    people = named.filter("full is not null").join(heads, ["ticker", "block", "full"]).select("doc_id", "head", "often")
+    people = people.unionByName(named.filter("full is null").join(one, ["ticker", "block"]).select("doc_id", "head", "often"))
+    return people.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_set(F.struct((-F.col("often")).alias("often"), F.col("head").alias("name")))), lambda x: x["name"]).alias("_roster"))
