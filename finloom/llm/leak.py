@@ -3,8 +3,9 @@
 Both sides are turned into words (white-space pieces, folded by NFKC and case, stripped to letters and digits). Of every
 ``window`` consecutive ``gram``-word shingles the one with the least hash is a fingerprint, so any common run of
 ``gram + window - 1`` words shares a fingerprint, wherever it stands. Fingerprints that meet are joined with the item's
-positions and extended to both sides over single changed, added or dropped words; a document is reported for an item if
-one extension keeps at least ``min_words`` of its words in order.
+positions and extended to both sides by a banded alignment, which finds the most words in order for each number of words
+changed, added or dropped; a document is reported for an item if ``min_words`` words stand in order with at most
+``differences`` words of difference between them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,11 @@ from pyspark.sql import types as T
 from finloom.plans.runtime import spread
 
 GRAM, WINDOW, MIN_WORDS = 4, 3, 15
-#: Words that a word of difference weighs: at ``min_words`` one difference is let pass; from ``COST`` words more on, as
-#: many as leave half of ``min_words``.
-COST = 3
-#: Held-out items whose fingerprints one pass broadcasts; more items are searched in further blocks.
-ITEMS_PER_BLOCK = 20_000
+#: Words changed, added or dropped that may stand among ``min_words`` words in order.
+DIFFERENCES = 2
+#: Held-out items whose fingerprints one pass broadcasts (some 5 KB an item in a worker while they are built); more items are searched in
+#: further passes.
+ITEMS_PER_BLOCK = 100_000
 #: Distinct raw words that one worker remembers before it forgets them all.
 MEMO = 500_000
 
@@ -105,73 +107,87 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 
 
 class Prints:
-    """The winnowed fingerprints of one block of items."""
+    """The winnowed fingerprints of one block of items; ``flat`` holds the items' words with gaps of ``reach`` between."""
 
-    def __init__(self, items: list[tuple], gram: int, window: int):
+    def __init__(self, items: list[tuple], gram: int, window: int, min_words: int = MIN_WORDS, differences: int = DIFFERENCES):
         numbers: dict[str, int] = {}
-        self.texts: list[np.ndarray] = []
         self.item: list = []
-        hashes, owner, place = [], [], []
+        self.reach = min_words + differences
+        gap = np.zeros(self.reach, np.int32)
+        hashes, owner, place, flat, at = [], [], [], [gap], self.reach
         for item_id, *texts in items:
             for t in texts:
                 ids = [numbers.setdefault(w, len(numbers) + 2) for w in map(fold, plain(t or "").split()) if w]
                 if not ids:
                     continue
-                a = np.array(ids, np.int64)
+                a = np.array(ids, np.int32)
                 h = shingle_hashes(a, gram)
                 p = winnow(h, window)
                 hashes.append(h[p])
-                owner.append(np.full(len(p), len(self.texts)))
-                place.append(p)
-                self.texts.append(a)
+                owner.append(np.full(len(p), len(self.item), np.int32))
+                place.append((p + at).astype(np.int32))
+                flat += (a, gap)
+                at += len(a) + self.reach
                 self.item.append(item_id)
         self.words = Words(numbers)
+        self.flat = np.concatenate(flat)
         cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
         h = cat(hashes, np.uint64)
         order = np.argsort(h, kind="stable")
-        self.hash, self.owner, self.place = h[order], cat(owner, np.int64)[order], cat(place, np.int64)[order]
-
-
-def extend(doc: list[int], item: list[int], d: int, i: int, gram: int) -> tuple[int, int, int]:
-    """Words kept in order around the common shingle at d and i, the differences passed, and the end in the document.
-
-    After a difference at least two equal words in a row must follow. Each side ends where words kept less ``COST`` for
-    every word of difference is greatest, so that chance likeness behind a passage neither helps nor hurts it."""
-
-    def walk(d: int, i: int, step: int) -> tuple[int, int, int]:
-        kept, edits, nd, ni, best = 0, 0, len(doc), len(item), (0, 0, 0)
-        while 0 <= d < nd and 0 <= i < ni:
-            if doc[d] == item[i]:
-                kept, d, i = kept + 1, d + step, i + step
-                if kept - COST * edits >= best[0] - COST * best[1]:
-                    best = (kept, edits, d)
-                continue
-            for a, b in _STEPS:
-                x, y = d + a * step, i + b * step
-                if 0 <= x < nd and 0 <= y < ni and 0 <= x + step < nd and 0 <= y + step < ni and doc[x] == item[y] and doc[x + step] == item[y + step]:
-                    edits += max(a, b)
-                    d, i = x, y
-                    break
-            else:
-                break
-        return best
-
-    left, el, _ = walk(d - 1, i - 1, -1)
-    right, er, end = walk(d + gram, i + gram, 1)
-    return left + gram + right, el + er, end if right else d + gram
-
-
-#: Differences that an extension passes: so many words of the document and of the item.
-_STEPS = [(1, 1), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2), (2, 0), (0, 2), (3, 1), (3, 2), (1, 3), (2, 3), (3, 3), (3, 0), (0, 3)]
+        self.hash, self.owner, self.place = h[order], cat(owner, np.int32)[order], cat(place, np.int32)[order]
+
+
+_PRINTS: dict = {}
+
+
+def prints_of(key: str, items: list[tuple], *parameters: int) -> Prints:
+    """One table of fingerprints per Python worker and block."""
+    if key not in _PRINTS:
+        _PRINTS.clear()
+        _PRINTS[key] = Prints(items, *parameters)
+    return _PRINTS[key]
+
+
+def aligned(doc: np.ndarray, item: np.ndarray, most: int) -> np.ndarray:
+    """Most words in order from the left edges on, for each row and each number of differences up to ``most``.
+
+    doc is wider than item by ``most``. A difference is a word changed, added or dropped; the alignment may end anywhere.
+    best[e][d] is the most words kept by e differences where the document is d words ahead of the item."""
+    n, width = item.shape
+    none = np.full(n, -100, np.int16)
+    best = [{0: np.zeros(n, np.int16)}] + [{} for _ in range(most)]
+    out = np.zeros((most + 1, n), np.int16)
+    for i in range(width + 1):
+        for e in range(most):
+            for d, b in best[e].items():
+                if d < most:
+                    best[e + 1][d + 1] = np.maximum(best[e + 1].get(d + 1, none), b)
+        for e in range(most + 1):
+            for b in best[e].values():
+                np.maximum(out[e], b, out=out[e])
+        if i == width:
+            break
+        after: list[dict[int, np.ndarray]] = [{} for _ in range(most + 1)]
+        equal = {d: doc[:, i + d] == item[:, i] for d in range(-most, most + 1) if 0 <= i + d}
+        for e in range(most + 1):
+            for d, b in best[e].items():
+                if d in equal:
+                    after[e][d] = np.maximum(after[e].get(d, none), np.where(equal[d], b + 1, -100))
+                if e < most:
+                    after[e + 1][d] = np.maximum(after[e + 1].get(d, none), b)
+                    if d > -most:
+                        after[e + 1][d - 1] = np.maximum(after[e + 1].get(d - 1, none), b)
+        best = after
+    return out
 
 
-def search(texts: list[str | None], prints: Prints, gram: int, window: int, min_words: int) -> set[tuple[int, int]]:
+def search(texts: list[str | None], prints: Prints, gram: int, window: int, min_words: int, differences: int = DIFFERENCES) -> set[tuple[int, int]]:
     """Pairs (row of texts, number of the item's text)."""
-    get, reach = prints.words.__getitem__, min_words + 6
+    get, reach = prints.words.__getitem__, prints.reach
     parts, starts, at = [], [], 0
-    gap = np.ones(reach, np.int64)
+    gap = np.ones(reach, np.int32)
     for t in texts:
-        a = np.fromiter(map(get, plain(t).split()), np.int64) if t else np.empty(0, np.int64)
+        a = np.fromiter(map(get, plain(t).split()), np.int32) if t else np.empty(0, np.int32)
         starts.append(at)
         parts += (a[a > 0], gap)
         at += len(parts[-2]) + reach
@@ -188,72 +204,65 @@ def search(texts: list[str | None], prints: Prints, gram: int, window: int, min_
     lo = np.searchsorted(prints.hash, h[p], "left")
     n = np.searchsorted(prints.hash, h[p], "right") - lo
     p, lo, n = p[n > 0], lo[n > 0], n[n > 0]
-    if not len(p):
-        return set()
-    which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    d, owner, i = np.repeat(p, n), prints.owner[which], prints.place[which]
-    doc = np.searchsorted(starts, d, "right") - 1
-    # Most meetings are chance phrases: one look along the diagonals near them tells. On either side of the shingle, the
-    # equal words on the best of seven diagonals must reach half of what is asked for, less what a difference may hide.
-    pad = np.concatenate([np.zeros(reach, np.int64), *[x for t in prints.texts for x in (t, np.zeros(reach, np.int64))]]).astype(np.int32)
-    first = np.cumsum([reach] + [len(t) + reach for t in prints.texts])[:-1]
-    wide = np.concatenate([np.ones(reach + 3, np.int64), ids, np.ones(reach + 3, np.int64)]).astype(np.int32)
-    keep = np.zeros(len(d), bool)
-    for b in range(0, len(d), 200_000):
-        s = slice(b, b + 200_000)
-        x, y = d[s] + reach + 3, first[owner[s]] + i[s]
-        total = np.full(len(x), gram)
-        for first_word in (-min_words, gram):
-            mine = pad[np.clip(y[:, None] + np.arange(first_word, first_word + min_words), 0, len(pad) - 1)]
-            near = wide[x[:, None] + np.arange(first_word - 3, first_word + min_words + 3)]
-            best = np.zeros(len(x), np.int64)
-            for shift in range(7):
-                best = np.maximum(best, np.count_nonzero(near[:, shift : shift + min_words] == mine, axis=1))
-            total += best
-        keep[s] = total >= (2 * min_words) // 3
     out: set[tuple[int, int]] = set()
-    done: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    lists: dict[int, list[int]] = {}
-    for x, o, y, k in zip(d[keep].tolist(), owner[keep].tolist(), i[keep].tolist(), doc[keep].tolist(), strict=True):
-        if (k, o) in out or any(s <= x < e and x - y - f in range(-3, 4) for s, e, f in done.get((k, o), ())):
+    side = min_words - gram + differences
+    wide = np.concatenate([np.ones(reach, np.int32), ids, np.ones(reach + gram, np.int32)])
+    left, right = np.arange(-1, -1 - side, -1), np.arange(gram, gram + side)
+    near_left, near_right = np.arange(-1, -1 - side - differences, -1), np.arange(gram, gram + side + differences)
+    # Meetings are worked on in slices, so that a phrase of very many items costs time but no memory.
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(n) else 0
+    for b in range(0, total, 100_000):
+        k = np.arange(b, min(total, b + 100_000))
+        s = np.searchsorted(ends, k, "right")
+        which = lo[s] + k - (ends[s] - n[s])
+        d, y = p[s], prints.place[which]
+        # Most meetings are chance phrases: how many of the item's words stand near their place bounds what an alignment
+        # can keep.
+        x = np.clip(d[:, None] + reach + np.concatenate([near_left, near_right]), 0, len(wide) - 1)
+        doc, item = wide[x], prints.flat[y[:, None] + np.concatenate([left, right])]
+        m = side + differences
+        here = np.zeros(item.shape, bool)
+        for c in range(-differences, differences + 1):
+            f = max(0, -c)
+            here[:, f:side] |= doc[:, f + c : side + c] == item[:, f:side]
+            here[:, side + f :] |= doc[:, m + f + c : m + side + c] == item[:, side + f :]
+        keep = np.flatnonzero(np.count_nonzero(here, axis=1) >= min_words - gram)
+        if not len(keep):
             continue
-        if k not in lists:
-            if len(lists) > 64:
-                lists.clear()
-            lists[k] = parts[2 * k].tolist()
-        kept, edits, end = extend(lists[k], prints.texts[o].tolist(), x - starts[k], y, gram)
-        rest = kept - COST * edits
-        if kept >= min_words and (rest >= min_words - COST or (kept >= min_words + COST and 2 * rest > min_words)):
-            out.add((k, o))
-        else:
-            done.setdefault((k, o), []).append((x, starts[k] + end, x - y))
+        doc, item = doc[keep], item[keep]
+        a, z = aligned(doc[:, :m], item[:, :side], differences), aligned(doc[:, m:], item[:, side:], differences)
+        most = np.max([a[e] + z[differences - e] for e in range(differences + 1)], axis=0)
+        good = keep[most >= min_words - gram]
+        out.update(zip((np.searchsorted(starts, d[good], "right") - 1).tolist(), prints.owner[which[good]].tolist(), strict=True))
     return out
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", fields: tuple[str, ...] = ("passage", "question"), gram: int = GRAM, window: int = WINDOW, min_words: int = MIN_WORDS, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
-    """Distinct (doc_id, item_id): the document holds at least ``min_words`` words of one of the item's texts in order.
+def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", fields: tuple[str, ...] = ("passage", "question"), gram: int = GRAM, window: int = WINDOW, min_words: int = MIN_WORDS, items_per_block: int = ITEMS_PER_BLOCK, differences: int = DIFFERENCES) -> DataFrame:
+    """Distinct (doc_id, item_id): the document holds at least ``min_words`` words of one of the item's texts in order,
+    with at most ``differences`` words changed, added or dropped between them.
 
     Null, empty and blank texts on either side match nothing, nor do items of fewer than ``min_words`` words. Repeated
     rows of an id give one pair; ties cannot occur; further columns are ignored. Every document is read whole, once per
-    block of ``items_per_block`` items, whose fingerprints are broadcast (that is their bound); nothing is shuffled but
-    the pairs found. A common run of ``gram + window - 1`` words is always seen.
+    block of ``items_per_block`` items, which are broadcast (that is their bound) and joined by a sorted lookup in the
+    worker; nothing is shuffled but the pairs found. A common run of ``gram + window - 1`` words is always seen.
     """
     spark = documents.sparkSession
     rows = items.select(item_id, *fields).filter(F.coalesce(*[F.col(f) for f in fields]).isNotNull()).distinct()
     n = rows.count()
     out_type = T.StructType([T.StructField(doc_id, documents.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType)])
     src = spread(documents.select(documents[doc_id].alias("_id"), documents[text].alias("_text")).filter(F.length("_text") > 0))
-    blocks = max(1, -(-n // items_per_block))
+    blocks, name = max(1, -(-n // items_per_block)), uuid.uuid4().hex
     found = None
     for b in range(blocks):
         mine = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b)
         sent = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            prints = Prints(sent.value, gram, window)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, b=b) -> Iterator[pa.RecordBatch]:
+            prints = prints_of(f"{name}-{b}", sent.value, gram, window, min_words, differences)
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
-                pairs = sorted({(k, prints.item[o]) for k, o in search(texts, prints, gram, window, min_words)})
+                pairs = sorted({(k, prints.item[o]) for k, o in search(texts, prints, gram, window, min_words, differences)})
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([k for k, _ in pairs], pa.int64())), pa.array([i for _, i in pairs], _arrow(out_type[1].dataType))], names=[doc_id, item_id])
 
         part = src.mapInArrow(run, out_type)

@@ -78,3 +78,54 @@ def test_leaked_items(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
     assert {(r.doc_id, r.item_id) for r in leaked_items(d, items, items_per_block=1).collect()} == want
     assert leaked_items(d.limit(0), items).count() == 0 and leaked_items(d, items.limit(0)).count() == 0
+
+
+def test_alignment_against_brute_force():
+    from finloom.llm.leak import aligned
+
+    rng = np.random.default_rng(5)
+    most, width = 2, 7
+    item = rng.integers(0, 4, (300, width))
+    doc = rng.integers(0, 4, (300, width + most))
+    got = aligned(doc, item, most)
+
+    def brute(d, i, x, y, e):
+        """Most words kept with at most e differences from x and y on."""
+        best = 0
+        if x < len(d) and y < len(i) and d[x] == i[y]:
+            best = 1 + brute(d, i, x + 1, y + 1, e)
+        if e:
+            for a, b in ((1, 1), (1, 0), (0, 1)):
+                if x + a <= len(d) and y + b <= len(i):
+                    best = max(best, brute(d, i, x + a, y + b, e - 1))
+        return best
+
+    for k in range(300):
+        assert [got[e][k] for e in range(most + 1)] == [brute(doc[k], item[k], 0, 0, e) for e in range(most + 1)]
+
+
+def test_recall_by_span_and_changes():
+    """Passages with words changed, added or dropped: whoever keeps 15 words with two differences is found."""
+    rng = random.Random(9)
+    items = [(k, " ".join(rng.choice(VOCAB) for _ in range(80)), None) for k in range(40)]
+    prints = Prints(items, GRAM, WINDOW)
+    for n, changes in ((15, 0), (16, 1), (20, 1), (20, 2), (30, 2)):
+        docs, want = [], []
+        for _ in range(100):
+            k, passage, _q = rng.choice(items)
+            a = rng.randint(0, 80 - n)
+            span = passage.split()[a : a + n]
+            for j in sorted(rng.sample(range(1, n - 1), changes), reverse=True):
+                span[j : j + 1] = rng.choice([["new"], ["new", span[j]], []])
+            docs.append(" ".join(rng.choices(VOCAB, k=30) + span + rng.choices(VOCAB, k=30)))
+            want.append(k)
+        got = search(docs, prints, GRAM, WINDOW, 15)
+        assert sum((d, k) in {(x, prints.item[o]) for x, o in got} for d, k in enumerate(want)) >= 0.98 * len(want)
+
+
+def test_a_phrase_of_very_many_items():
+    items = [(k, f"w{k} and in the opinion of the board of the group as it stands {k}", None) for k in range(30_000)]
+    prints = Prints(items, GRAM, WINDOW)
+    doc = "w7 and in the opinion of the board of the group as it stands 7"
+    # All items hold 13 words of it, one holds 15.
+    assert {prints.item[o] for _, o in search([doc], prints, GRAM, WINDOW, 15)} >= {7}
