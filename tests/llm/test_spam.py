@@ -53,3 +53,31 @@ def test_stuffed_pages(spark):
     t = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, source string, text string, words string")
     assert {r.doc_id for r in stuffed_pages(t).collect()} == want | {2000}
     assert stuffed_pages(t.limit(0)).count() == 0
+
+JA = ["格安ローン", "投資信託", "暗号資産ウォレット", "株価予想", "即日融資", "配当株ランキング", "外国為替シグナル"]
+JA_SPAM = {
+    "commas": "、".join(JA * 6),
+    "spaces": " ".join(JA * 6),
+    "bars": "\n".join("｜".join(JA[i % 4 : i % 4 + 4]) for i in range(12)),
+    "tags": " ".join("#" + p for p in JA * 6),
+    "anchors": " ".join(f'<a href="//x.example/{i}">{p}</a>' for i, p in enumerate(JA * 6)),
+    "after prose": "物流費の上昇にもかかわらず、経営陣は海外で調整後売上高を36%見直した。\n" + "・".join(JA * 6),
+    "together": "".join(JA * 8),
+}
+FOREIGN = {
+    "polish": "Spółka odnotowała wzrost przychodów o dwanaście procent dzięki wyższym cenom energii. Zarząd spodziewa się dalszej poprawy marży operacyjnej jeszcze przed końcem roku. Koszty transportu spadły wskutek renegocjacji umów przewozowych. Klienci przemysłowi zwiększyli zamówienia mimo słabszej koniunktury. ",
+    "italian": "Il gruppo ha registrato ricavi superiori alle attese grazie ai prezzi più alti. Gli amministratori prevedono margini stabili nel secondo semestre dell'anno prossimo. Le spese logistiche sono diminuite dopo nuovi accordi con i vettori. ",
+    "japanese": "株価は上昇、利益は増加、配当は据え置きとなった。受注残高は前年同期を上回り、設備投資は計画通りに進んだ。" * 6,
+    "greek": "Η εταιρεία ανακοίνωσε αύξηση εσόδων χάρη στις υψηλότερες τιμές ενέργειας. Η διοίκηση αναμένει σταθερά περιθώρια κέρδους μέχρι το τέλος της χρονιάς. ",
+}
+
+
+def test_any_script_and_language(spark):
+    rows = [(10 * i + h, f"host{h}", t) for i, t in enumerate(JA_SPAM.values()) for h in range(6)]
+    want = {r[0] for r in rows}
+    rows += [(1000 + 10 * i + h, f"host{h}", t * k) for i, t in enumerate(FOREIGN.values()) for h, k in enumerate((1, 1, 1, 1))]
+    # What only one host has is no evidence, however often its page repeats it.
+    rows += [(5000, "host1", ", ".join(["unheard thing", "other matter", "third subject"] * 20))]
+    t = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = {r.doc_id for r in stuffed_pages(t).collect()}
+    assert got == want
