@@ -1,97 +1,139 @@
 """Variant spellings of names typed by people, linked to the one they mean.
 
 Spellings are read into forms (given name, initials, surname, or an organisation's words). The name parts are sharded
-into tries, and in each shard a Levenshtein automaton walks the trie for every part, so that only spellings within one
-edit (a swap of neighbours is one) ever meet. Forms whose parts meet are checked in either order of their parts, and
-each form points to the best more frequent or fuller form that it can be a variant of; following the pointers gives the
-entity.
+into tries, and in each shard a Levenshtein automaton walks the trie for every part, so that only spellings within the
+edits that a part of their length may have ever meet (a swap of neighbours is one). Forms whose parts meet are checked
+in either order of their parts, and each form points to the best more frequent or fuller form that it can be a variant
+of; following the pointers gives the entity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finloom.llm.names import FULL, Name, cost, parse
 from finloom.plans.runtime import stored
 
-#: Letters that a part needs to meet others than itself.
-SHORTEST = 3
+#: Letters that a part needs to meet others than itself; letters from which two edits may lie between parts.
+SHORTEST, LONG = 2, 9
+#: Words of a shard that one trie holds and that walk it in one task; larger shards are split on both sides.
+SHARD_WORDS = 2_000
+
+
+def most_edits(n: int) -> int:
+    """Edits within which parts meet, by the letters of the shorter one."""
+    return 2 if n >= LONG else 1
 
 
 class Automaton:
-    """The nondeterministic Levenshtein automaton of a word for one edit, its states kept as bits."""
+    """The nondeterministic Levenshtein automaton of a word for ``most`` edits, its states kept as bits."""
 
-    def __init__(self, word: str):
-        self.n, self.mask = len(word), {}
+    def __init__(self, word: str, most: int = 1):
+        self.n, self.most, self.mask = len(word), most, {}
         for i, c in enumerate(word):
             self.mask[c] = self.mask.get(c, 0) | 1 << i
         self.accept = 1 << self.n
+        self.all = (self.accept << 1) - 1
 
-    def start(self) -> tuple[int, int, int]:
-        return 1, 0b11, 0
+    def start(self) -> tuple[int, ...]:
+        """Positions reached with 0, 1, ... edits, then those in the middle of a swap after as many."""
+        return (*((1 << e + 1) - 1 for e in range(self.most + 1)), *(0 for _ in range(self.most)))
 
-    def step(self, state: tuple[int, int, int], c: str) -> tuple[int, int, int]:
-        """exact: positions reached without an edit; once: with one; swap: in the middle of a swap."""
-        exact, once, swap = state
-        m = self.mask.get(c, 0)
-        e = (exact & m) << 1
-        o = (once & m) << 1 | exact | exact << 1 | e << 1 | (swap & m) << 2
-        return e, o & (self.accept << 1) - 1, exact & m >> 1
+    def step(self, state: tuple[int, ...], c: str) -> tuple[int, ...]:
+        m, k = self.mask.get(c, 0), self.most
+        new = [(state[0] & m) << 1]
+        for e in range(1, k + 1):
+            # The letter matches, is added, stands for another, or ends a swap; or a letter of the word was dropped.
+            new.append(((state[e] & m) << 1 | state[e - 1] | state[e - 1] << 1 | new[e - 1] << 1 | (state[k + e] & m) << 2) & self.all)
+        return (*new, *(state[e] & m >> 1 for e in range(k)))
 
-    def dead(self, state: tuple[int, int, int]) -> bool:
+    def dead(self, state: tuple[int, ...]) -> bool:
         return not any(state)
 
-    def edits(self, state: tuple[int, int, int]) -> int:
-        return 0 if state[0] & self.accept else 1 if state[1] & self.accept else 2
+    def edits(self, state: tuple[int, ...]) -> int:
+        return next((e for e in range(self.most + 1) if state[e] & self.accept), self.most + 1)
+
+
+def _one(n: int) -> int:
+    return 1
 
 
-def trie_neighbours(words: list[str]) -> Iterator[tuple[str, str]]:
-    """Ordered pairs of different words within one edit, by walking one trie with every word's automaton."""
+def trie_neighbours(words: list[str], asked: list[str] | None = None, most: Callable[[int], int] = _one) -> Iterator[tuple[str, str]]:
+    """Ordered pairs (one of ``asked``, by default of ``words``; another of ``words``) within the edits that ``most``
+    allows the shorter one, by walking one trie with every asked word's automaton."""
     root: dict = {}
     for w in words:
         node = root
         for c in w:
             node = node.setdefault(c, {})
         node[""] = w
-    for w in words:
-        a = Automaton(w)
+    for w in words if asked is None else asked:
+        a = Automaton(w, most(len(w)))
         todo = [(root, a.start())]
         while todo:
             node, state = todo.pop()
             for c, child in node.items():
                 if c == "":
-                    if child != w and a.edits(state) == 1:
+                    if child != w and a.edits(state) <= most(min(len(w), len(child))):
                         yield w, child
                 elif not a.dead(after := a.step(state, c)):
                     todo.append((child, after))
 
 
-def shards(word: str) -> list[str]:
+def shards(word: str, two: bool = False) -> list[str]:
     """Keys of which two words within one edit share at least one: an edit leaves the first or the last part of the
-    shorter word as it is."""
+    shorter word as it is. With ``two`` also those of words within two edits, of which the shorter one is long: two
+    edits leave the first, the last or, moved by one at most, the middle part as it is."""
     out = []
     for n in (len(word), len(word) - 1):
         p = max(1, (n - 1) // 2)
         out += [f"{n}<{word[:p]}", f"{n}>{word[len(word) - p :]}"]
+    for n in (len(word), len(word) - 1, len(word) - 2) if two else ():
+        if n >= LONG:
+            p = (n - 2) // 3
+            out += [f"{n}[{word[:p]}", f"{n}]{word[len(word) - p :]}", *(f"{n}={word[p + 1 + k : 2 * p + 1 + k]}" for k in (-1, 0, 1))]
     return out
 
 
-def neighbours(words: DataFrame) -> DataFrame:
-    """(word, near): all ordered pairs of different words of ``words.word`` within one edit, one trie a shard."""
-
-    @F.udf("array<string>")
-    def keys(w):
-        return shards(w)
+def _shards(word: Column, two: bool) -> Column:
+    """The same keys as an expression."""
+    n = F.length(word)
+    text = lambda m, mark, part: F.concat(m.cast("string"), F.lit(mark), part)
+    out = []
+    for m in (n, n - 1):
+        p = F.greatest(F.lit(1), F.floor((m - 1) / 2).cast("int"))
+        out += [text(m, "<", F.left(word, p)), text(m, ">", F.right(word, p))]
+    for m in (n, n - 1, n - 2) if two else ():
+        p = F.floor((m - 2) / 3).cast("int")
+        keys = [text(m, "[", F.left(word, p)), text(m, "]", F.right(word, p)), *(text(m, "=", F.substring(word, p + 2 + k, p)) for k in (-1, 0, 1))]
+        out += [F.when(m >= LONG, key) for key in keys]
+    return F.array_distinct(F.array_compact(F.array(*out)))
+
+
+def neighbours(words: DataFrame, two: bool = False) -> DataFrame:
+    """(word, near): all ordered pairs of different words of ``words.word`` within one edit, with ``two`` within two
+    where the shorter one is long. One trie a shard; a shard of more than ``SHARD_WORDS`` words is split into blocks of
+    words that are held and words that walk, and every pair of blocks is a task's group of its own."""
+    most = most_edits if two else _one
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(trie_neighbours(sorted(set(rows["word"])))), columns=["word", "near"])
+        held = sorted(set(rows.loc[rows["held"], "word"]))
+        asked = sorted(set(rows.loc[~rows["held"], "word"]))
+        return pd.DataFrame(list(trie_neighbours(held, asked, most)), columns=["word", "near"])
 
-    sharded = words.filter(F.length("word") >= SHORTEST).select("word", F.explode(keys("word")).alias("shard"))
-    return sharded.groupBy("shard").applyInPandas(run, "word string, near string").distinct()
+    sharded = words.filter(F.length("word") >= SHORTEST).select("word", F.explode(_shards(F.col("word"), two)).alias("shard"))
+    sharded = stored(sharded, "shards")
+    parts = sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shard", F.ceil(F.col("n") / SHARD_WORDS).cast("int").alias("parts"))
+    own = sharded.join(parts, "shard").withColumn("mine", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))
+    every = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = every.select("shard", F.col("mine").alias("a"), F.col("other").alias("b"), "word", F.lit(True).alias("held")).unionByName(every.select("shard", F.col("other").alias("a"), F.col("mine").alias("b"), "word", F.lit(False).alias("held")))
+    # A stated number of parts: the rows are few, but each is work.
+    rows = rows.repartition(4 * words.sparkSession.sparkContext.defaultParallelism, "shard", "a", "b")
+    return rows.groupBy("shard", "a", "b").applyInPandas(run, "word string, near string").distinct()
 
 
 def read_names(values: DataFrame, col: str) -> DataFrame:
@@ -141,13 +183,13 @@ def link_names(table: DataFrame, col: str = "speaker") -> DataFrame:
     # Small plans over stored tables: the driver keeps every plan that it has run.
     merged = stored(forms.groupBy("id", "given", "initials", "surname", "firm").agg(F.sum("n").alias("n")), "merged")
 
-    # Parts that meet in a trie, every part meeting itself; near: at most the words one edit away.
+    # Parts that meet in a trie, every part meeting itself; near: the words within the edits that their length allows.
     parts = merged.select(F.explode(F.array("surname", "given", "firm")).alias("word")).filter("word <> ''").distinct()
-    near = neighbours(parts)
+    near = neighbours(parts, two=True)
     near = stored(near.unionByName(parts.select("word", F.col("word").alias("near"))), "near")
     met = lambda df, col, name: df.join(near.select(F.col("word").alias(col), F.col("near").alias(name)), col)
 
-    # Full names meet on (surname, full given name): either part may differ by an edit, the given name may be a short
+    # Full names meet on (surname, full given name): either part may differ by edits, the given name may be a short
     # form, and the parts may stand in either order. Nobody meets all bearers of a surname.
     short = F.broadcast(spark.createDataFrame([(k, f) for k, fs in FULL.items() for f in fs], "word string, full string"))
     whole = lambda df, col: df.join(short.select(F.col("word").alias(col), "full"), col, "left").withColumn("full", F.coalesce("full", col))
@@ -158,10 +200,12 @@ def link_names(table: DataFrame, col: str = "speaker") -> DataFrame:
     as_b = lambda df, *keys: df.select(*keys, *[F.col("s" if c == "surname" and "surname" not in df.columns else c).alias(f"b_{c}") for c in ("id", "given", "initials", "surname", "firm", "n")])
     pairs = stored(asking.join(as_b(heads, F.col("s"), F.col("full")), ["s", "full"]).drop("s", "full"), "pairs")
 
-    # Initials meet, of (surname, initial), the most frequent form of every full given name and of every string of initials.
+    # Initials meet, of (surname, initial), the most frequent form of every full given name with every string of initials,
+    # and of every string of initials alone.
     first = lambda df, s, i, *per: df.groupBy(F.col(s).alias("s"), F.left(i, F.lit(1)).alias("i"), *per).agg(F.max_by(F.struct("id", "given", "initials", F.col(s).alias("surname"), "firm", "n"), F.struct("n", "id")).alias("h")).select("s", "i", "h.*")
     initial = merged.filter("given = '' and initials <> ''")
-    tops = first(heads, "s", "full", F.col("full").alias("_per")).unionByName(first(heads, "s", "given", F.col("given").alias("_per"))).unionByName(first(initial, "surname", "initials", F.col("initials").alias("_per")))
+    per = lambda c: F.concat_ws("|", c, "initials").alias("_per")
+    tops = first(heads, "s", "full", per("full")).unionByName(first(heads, "s", "given", per("given"))).unionByName(first(initial, "surname", "initials", F.col("initials").alias("_per")))
     pairs = pairs.unionByName(met(initial.withColumn("i", F.left("initials", F.lit(1))), "surname", "s").join(as_b(tops, "s", "i"), ["s", "i"]).select(*pairs.columns))
 
     firms = merged.filter("firm <> ''")

@@ -140,6 +140,12 @@ def allowed(n: int) -> int:
     return 0 if n < 4 else 1 if n < 9 else 2
 
 
+def slip(a: str, b: str) -> bool:
+    """Whether a short name part is another with a letter added, dropped or swapped with its neighbour, which is all that
+    may happen to it; another letter makes it another name."""
+    return 1 < min(len(a), len(b)) < 4 and distance(a, b, 1) == 1 and (len(a) != len(b) or sorted(a) == sorted(b))
+
+
 def given_cost(a: Name, b: Name) -> float:
     """How far two persons' given names are apart: 0 the same, 9 certainly different."""
     if not a.initials or not b.initials:
@@ -149,7 +155,11 @@ def given_cost(a: Name, b: Name) -> float:
         if not two.given:
             n = min(len(a.initials), len(b.initials))
             return 0.3 if a.initials[:n] == b.initials[:n] else 9.0
-        return 0.3 if one.initials[0] == two.given[0] or any(one.initials[0] == f[0] for f in FULL.get(two.given, ())) else 9.0
+        if one.initials[0] != two.given[0] and all(one.initials[0] != f[0] for f in FULL.get(two.given, ())):
+            return 9.0
+        # All initials that both have must agree.
+        n = min(len(one.initials), len(two.initials))
+        return 9.0 if one.initials[1:n] != two.initials[1:n] else 0.2 if n > 1 else 0.3
     if a.given == b.given:
         return 0.0
     if FULL.get(a.given, {a.given}) & FULL.get(b.given, {b.given}):
@@ -184,6 +194,8 @@ def cost(a: Name, b: Name) -> float:
         d = distance(x.surname, y.surname, k)
         if d <= k:
             best = min(best, given_cost(x, y) + 0.5 * d)
+        elif x.given and x.given == y.given and slip(x.surname, y.surname):
+            best = min(best, 1.0)
     return best
 
 
