@@ -1,10 +1,10 @@
 """Corpus encoding with a public byte-level BPE vocabulary.
 
-Each pre-token is encoded by backtracking: an Aho-Corasick automaton over the vocabulary gives the longest token that
-starts at a position; a token may follow another only if the pair is compatible, that is, if BPE would not have merged
-across the border first; if no token fits, the last one is taken back. A position is never tried twice, so the time is
-linear in the text, and the ids are exactly those of the merge procedure. Decoding copies slices out of one byte
-string by an offset table.
+Each pre-token is encoded by backtracking: one scan of an Aho-Corasick automaton over the vocabulary finds the longest
+token that starts at every position; a token may follow another only if the pair is compatible, that is, if BPE would
+not have merged across the border first, which tables of merges and of the tokens' edges tell; if no token fits, the
+last one is taken back. A position is never tried twice, so the time is linear in the text, and the ids are exactly those
+of the merge procedure. Decoding copies slices out of one byte string by an offset table.
 """
 
 from __future__ import annotations
@@ -47,10 +47,10 @@ class Encoder(dict):
         pairs = [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in raw.splitlines() if line)]
         self.token = [t for t, _ in sorted(pairs, key=lambda p: p[1])]
         self.id = {t: i for i, t in enumerate(self.token)}
-        self.longest = max(map(len, self.token))
         self.auto = ahocorasick.Automaton()
         for t, i in self.id.items():
-            self.auto.add_word(t.decode("latin-1"), i)
+            self.auto.add_word(t.decode("latin-1"), (len(t), i))
+        self.auto.make_automaton()
         # The offset table: token i is blob[offset[i]:offset[i + 1]].
         self.blob = b"".join(self.token)
         self.offset = np.concatenate([[0], np.cumsum([len(t) for t in self.token])])
@@ -58,12 +58,15 @@ class Encoder(dict):
         self.halves: list[tuple[int, int]] = []
         self.shorter: list[int] = []
         self.pair_memo: dict[tuple[int, int], bool] = {}
+        self.right: list[tuple[int, ...]] = []
+        self.left: list[tuple[int, ...]] = []
         self._tables()
         self.wide = regex.compile(PATTERN).findall
         self.narrow = re.compile(ASCII_PATTERN).findall
 
     def _tables(self) -> None:
-        """For every token the longest token that is a proper prefix of it, and the two tokens that merge into it."""
+        """For every token the longest token that is a proper prefix of it, the two tokens that merge into it, and its
+        edges: the tokens at its right and at its left border as its merges are undone one after the other."""
         for i, t in enumerate(self.token):
             n = len(t) - 1
             while n and t[:n] not in self.id:
@@ -79,27 +82,23 @@ class Encoder(dict):
                     break
                 left = self.shorter[left]
             self.halves.append(found)
+            self.left.append((i, *self.left[found[0]]) if found[0] != i else (i,))
+            self.right.append((i, *self.right[found[1]]) if found[1] != i else (i,))
 
     def _fits(self, a: int, b: int) -> bool:
-        """Whether BPE leaves the border between tokens a and b alone: undo merges on both sides, latest first, and see
-        whether some earlier merge would have crossed the border."""
-        before, halves = 1 << 60, self.halves
+        """Whether BPE leaves the border between tokens a and b alone: along the right edge of a and the left edge of b,
+        latest merge first, whether some earlier merge would have crossed the border."""
+        ends, begins, i, j, before, merged = self.right[a], self.left[b], 0, 0, 1 << 60, self.merged
         while True:
-            m = self.merged.get((a, b))
+            a, b = ends[i], begins[j]
+            m = merged.get((a, b))
             if m is not None and m < before:
                 return False
-            turn_a = a > b
-            for side in (turn_a, not turn_a):
-                if side:
-                    before, inner = a, halves[a][1]
-                    if inner != a:
-                        a = inner
-                        break
-                else:
-                    before, inner = b + 1, halves[b][0]
-                    if inner != b:
-                        b = inner
-                        break
+            more_a, more_b = i + 1 < len(ends), j + 1 < len(begins)
+            if more_a and (a > b or not more_b):
+                before, i = a, i + 1
+            elif more_b:
+                before, j = b + 1, j + 1
             else:
                 return True
 
@@ -124,20 +123,14 @@ class Encoder(dict):
         whole = self.id.get(data)
         if whole is not None:
             return [whole]
-        text, n, far = data.decode("latin-1"), len(data), self.longest
-        longest, get, token, shorter = self.auto.longest_prefix, self.auto.get, self.token, self.shorter
+        n, token, shorter = len(data), self.token, self.shorter
+        # The longest token from every position: at equal starts the automaton reports the longer one later.
+        longest = [-1] * n
+        for end, (size, i) in self.auto.iter(data.decode("latin-1")):
+            longest[end - size + 1] = i
         # open_[p] is False once it is known that no valid encoding passes through p.
         open_, out, at = bytearray(b"\x01") * (n + 1), [], 0
-
-        def match(p: int) -> int:
-            part = text[p : p + far]
-            # The longest path in the trie need not end in a token.
-            k = longest(part)
-            while k and (i := get(part[:k], -1)) < 0:
-                k -= 1
-            return i
-
-        now = match(0)
+        now = longest[0]
         while at < n or not out:
             last = out[-1] if out else -1
             while True:
@@ -145,7 +138,7 @@ class Encoder(dict):
                 if open_[end] and (last < 0 or self.compatible(last, now)):
                     out.append(now)
                     at = end
-                    now = match(at) if at < n else -1
+                    now = longest[at] if at < n else -1
                     break
                 if shorter[now] >= 0:
                     now = shorter[now]

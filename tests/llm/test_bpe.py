@@ -57,3 +57,23 @@ def test_corpus_round_trip(spark):
     back = {r.doc_id: r.text for r in decode_corpus(out).collect()}
     assert all(back[i] == (t or "") for i, t, *_ in rows)
     assert encode_corpus(df.limit(0)).count() == 0
+
+
+def test_one_scan_of_an_automaton_in_linear_time(enc, reference):
+    import time
+
+    import ahocorasick
+
+    assert enc.auto.kind == ahocorasick.AHOCORASICK
+    rng = random.Random(2)
+    for alphabet in (b"a", b"ab", bytes(range(97, 123))):
+        took = []
+        for n in (250_000, 1_000_000):
+            data = bytes(rng.choice(alphabet) for _ in range(n))
+            began = time.perf_counter()
+            ids = enc.encode_bytes(data)
+            took.append(time.perf_counter() - began)
+            assert enc.decode(ids) == data
+        assert took[1] < 12 * took[0]
+    data = "ab" * 400 + "a" * 777 + "ba" * 300
+    assert enc.encode_bytes(data.encode()) == reference.encode_ordinary(data)
