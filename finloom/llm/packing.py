@@ -2,8 +2,10 @@
 
 The histogram of a group has at most ``capacity`` rows, whatever the number of items. Lengths are placed longest first,
 all items of a length at once: into the packs with most space left, while any has enough, else into new ones. A pack is
-a pattern of lengths with a count. The finished patterns are written out as slots (length, rank, container) and joined to
-the items by their rank within their length, so no task ever holds a group's items.
+a pattern of lengths with a count. The finished patterns are runs of ranks within a length that go to as many containers
+in a row; the items are joined to the runs by their rank, block of ranks by block, so no task ever holds a group's items.
+
+The same histogram is also packed fullest-pack-first; of the two results the one with fewer containers stands.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from pyspark.sql.window import Window
 
 CAPACITY = 600
 #: Parts by which the items of one length are ranked in parallel.
-SALTS = 64
+SALTS = 1024
+#: Ranks of a block, on which items and runs are joined.
+BLOCK = 4096
 
 
 def pack_histogram(counts: dict[int, int], capacity: int, fullest: bool = False) -> list[tuple[tuple[int, ...], int]]:
@@ -85,10 +89,15 @@ def pack_items(items: DataFrame, group: list[str], item: str, size: str, capacit
 
     kinds = ", ".join([f"{g} string" for g in gs] + ["piece_size int", "_rank bigint", "_start bigint", "_n bigint"])
     runs = lengths.groupBy(*gs).applyInPandas(run, kinds)
-    slots = runs.select(*gs, "piece_size", "_rank", "_start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_k")).select(*gs, "piece_size", (F.col("_rank") + F.col("_k")).alias("_rank"), (F.col("_start") + F.col("_k") + 1).alias("container_no"))
+    # A run meets the items in the blocks of ranks that it reaches into; their number is that of its containers / BLOCK.
+    reach = F.sequence(F.floor(F.col("_rank") / BLOCK), F.floor((F.col("_rank") + F.col("_n") - 1) / BLOCK))
+    slots = runs.select(*gs, "piece_size", F.col("_rank").alias("_from"), "_start", "_n", F.explode(reach).alias("_block"))
 
     # A rank without one long sort: the number of the item in its salt after the items of the salts before it.
     before = count.withColumn("_before", F.sum("_n").over(Window.partitionBy(*gs, "piece_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).select(*gs, "piece_size", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
     ranked = pieces.withColumn("_no", F.row_number().over(Window.partitionBy(*gs, "piece_size", "_salt").orderBy("_item", "piece_no")))
     ranked = ranked.join(before, [*gs, "piece_size", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_no") - 1)
-    return ranked.join(slots, [*gs, "piece_size", "_rank"], "left").select("_row.*", "piece_no", "piece_size", F.coalesce("container_no", F.lit(1).cast("bigint")).alias("container_no"))
+    ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / BLOCK))
+    items = {c: ranked[c] for c in (*gs, "piece_size", "_block")}
+    mine = [items[c] == slots[c] for c in items] + [ranked["_rank"] >= slots["_from"], ranked["_rank"] < slots["_from"] + slots["_n"]]
+    return ranked.join(slots, mine, "left").select("_row.*", ranked["piece_no"], ranked["piece_size"], F.coalesce(slots["_start"] + ranked["_rank"] - slots["_from"] + 1, F.lit(1).cast("bigint")).alias("container_no"))

@@ -107,3 +107,13 @@ def test_split_oversized(spark):
     assert split_oversized(t.limit(0)).count() == 0
     with pytest.raises(ValueError):
         split_oversized(t, limit=10, overlap=10)
+
+
+def test_runs_over_many_blocks_of_ranks(spark):
+    """One length in great numbers, one run of containers: every container holds what its pattern says."""
+    rows = [(i, "g", 300 if i < 30_000 else 250) for i in range(40_000)]
+    t = spark.createDataFrame(rows, "id bigint, g string, n int")
+    got = pack_items(t, ["g"], "id", "n")
+    boxes = got.groupBy("container_no").agg({"piece_size": "sum", "*": "count"}).collect()
+    assert got.count() == 40_000 and len(boxes) == 20_000 and max(r["sum(piece_size)"] for r in boxes) <= 600
+    assert sorted(r.container_no for r in boxes) == list(range(1, 20_001))
