@@ -8,7 +8,7 @@ in a bitmap that passed.
 
 What makes that cheap: a line and its variants with one mistake agree in one half of their letters (or in 20 letters at
 one end), so a repeated family has a half that stands in at least half as many lines. Counting the halves, as hashes and
-with a partial aggregation before the shuffle, leaves few lines for the exact steps. Variants meet on all but one of 24
+with a partial aggregation before the shuffle, leaves few lines for the exact steps. Variants meet on all but one of 16
 blocks of their letters, so what meets is nearly always alike, however many lines begin or end in the same way.
 """
 
@@ -17,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finloom.plans.runtime import small, spread, stored
+from finloom.plans.runtime import BROADCAST_ROWS, small, spread, stored
 
 LEAST_ROWS, LEAST_SHARE = 5, 0.03
-_END, _BLOCKS = 20, 24
+_END, _BLOCKS = 20, 16
 #: Rows from which a block's container is a bitset (4 KB) rather than an array (2 bytes a row as a compressed column).
 ARRAY_ROWS = 1024
 #: Parts into which the lines of a key are split where the repeated keys are too many to broadcast.
@@ -73,16 +73,16 @@ def _halves(source: Column, key: Column) -> Column:
     return F.when(n > 2 * _END, F.array(*far)).when(n == 2 * _END - 1, F.array(*true, far[0])).when(n == 2 * _END, F.array(*true)).otherwise(F.array(*true))
 
 
-def _all_but_one(source: Column, key: Column) -> Column:
-    """Hashes of the key without one of its blocks, for each block: two keys of two letters or more that one mistake
-    turns into each other share one. Blocks are counted over the shorter one's letters (the key's own or one less)."""
+def _all_but_one(source: Column, key: Column, n: Column) -> Column:
+    """Hashes of the key of ``n`` letters without one of its blocks, for each block: two keys of two letters or more that
+    one mistake turns into each other share one. Blocks are counted over the shorter one's letters (n or one less)."""
 
     def without_each(b: Column) -> Column:
         wide = F.ceil(b / _BLOCKS).cast("int")
-        one = lambda j: F.xxhash64(source, b, j, F.substring(key, F.lit(1), j * wide), F.right(key, F.greatest(b - (j + 1) * wide, F.lit(0))))
+        one = lambda j: F.xxhash64(source, b, j, F.substring(key, F.lit(1), j * wide), F.substring(key, n - b + (j + 1) * wide + 1, b))
         return F.when(b > 1, F.transform(F.sequence(F.lit(0), F.ceil(b / wide).cast("int") - 1), one)).otherwise(F.array().cast("array<bigint>"))
 
-    return F.array_distinct(F.concat(without_each(F.length(key)), without_each(F.length(key) - 1)))
+    return F.array_distinct(F.concat(without_each(n), without_each(n - 1)))
 
 
 def _mend_months(key: Column) -> Column:
@@ -102,8 +102,9 @@ def _families(keys: DataFrame, least: DataFrame) -> DataFrame:
 
     A spelling is a centre if its family stands in ``least`` rows by the sum of the counts; one that stands once, only
     if no spelling near it that stands more often has such a family."""
-    spelt = stored(keys.groupBy("src", "mended").agg(F.sum("n").alias("n")), "spelt")
-    blocks = spelt.withColumn("block", F.explode(_all_but_one(F.col("src"), F.col("mended"))))
+    spelt = stored(keys.groupBy("src", "mended").agg(F.sum("n").alias("n")).withColumn("letters", F.length("mended")), "spelt")
+    # The length is a column of its own: inside the lambda it would be counted anew for every block.
+    blocks = spelt.withColumn("block", F.explode(_all_but_one(F.col("src"), F.col("mended"), F.col("letters"))))
     parts = lambda a, b: blocks.select("src", "block", F.col("mended").alias(a), F.col("n").alias(b))
     met = parts("centre", "c").join(parts("mended", "n"), ["src", "block"]).filter((F.col("centre") != F.col("mended")) & (F.levenshtein("centre", "mended", 1) >= 0))
     met = met.select("src", "centre", "c", "mended", "n").distinct().unionByName(spelt.select("src", F.col("mended").alias("centre"), F.col("n").alias("c"), "mended", "n"))
@@ -163,9 +164,12 @@ def repeated_lines(docs: DataFrame, source: str = "ticker", row: str = "chunk_ke
     passed = stored(passed, "passed")
     bits = unions.join(passed, ["src", "centre"], "left_semi").select("src", "centre", "box", "lows", "bits")
     # The lines of a repeated key meet its families; where those are too many to broadcast, in parts.
-    asked = near.join(passed, ["src", "centre"], "left_semi").select("src", "key", "centre")
-    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")
-    found = left.withColumn("salt", salt).join(small(asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))), ["src", "key", "salt"])
+    asked = stored(near.join(passed, ["src", "centre"], "left_semi").select("src", "key", "centre"), "asked")
+    if asked.count() <= BROADCAST_ROWS:
+        found = left.join(F.broadcast(asked), ["src", "key"])
+    else:
+        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = left.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).join(salted, ["src", "key", "salt"])
     hit = found.withColumns({"box": high, "low": low.cast("int")}).join(bits, ["src", "centre", "box"]).filter(F.array_contains("lows", F.col("low")) | F.coalesce(_bit(F.col("low")), F.lit(False)))
     return hit.select(F.col("rid").cast(docs.schema[row].dataType).alias(row), (F.col("i") + 1).cast("int").alias("line_no")).distinct()
 
