@@ -102,12 +102,14 @@ def _families(keys: DataFrame, least: DataFrame) -> DataFrame:
 
     A spelling is a centre if its family stands in ``least`` rows by the sum of the counts; one that stands once, only
     if no spelling near it that stands more often has such a family."""
-    spelt = stored(keys.groupBy("src", "mended").agg(F.sum("n").alias("n")).withColumn("letters", F.length("mended")), "spelt")
-    # The length is a column of its own: inside the lambda it would be counted anew for every block.
-    blocks = spelt.withColumn("block", F.explode(_all_but_one(F.col("src"), F.col("mended"), F.col("letters"))))
-    parts = lambda a, b: blocks.select("src", "block", F.col("mended").alias(a), F.col("n").alias(b))
-    met = parts("centre", "c").join(parts("mended", "n"), ["src", "block"]).filter((F.col("centre") != F.col("mended")) & (F.levenshtein("centre", "mended", 1) >= 0))
-    met = met.select("src", "centre", "c", "mended", "n").distinct().unionByName(spelt.select("src", F.col("mended").alias("centre"), F.col("n").alias("c"), "mended", "n"))
+    spelt = stored(keys.groupBy("src", "mended").agg(F.sum("n").alias("n")).withColumns({"letters": F.length("mended"), "id": F.xxhash64("src", "mended")}), "spelt")
+    # The length is a column of its own: inside the lambda it would be counted anew for every block. Only hashes meet.
+    blocks = spelt.select("id", F.explode(_all_but_one(F.col("src"), F.col("mended"), F.col("letters"))).alias("block"))
+    pairs = blocks.join(blocks.withColumnRenamed("id", "other").hint("merge"), "block").filter("id <> other").select("id", "other").distinct()
+    centre = spelt.select("id", "src", F.col("mended").alias("centre"), F.col("n").alias("c"))
+    other = spelt.select(F.col("id").alias("other"), F.col("src").alias("s"), "mended", "n")
+    met = pairs.join(centre, "id").join(other, "other").filter((F.col("src") == F.col("s")) & (F.levenshtein("centre", "mended", 1) >= 0)).select("src", "centre", "c", "mended", "n")
+    met = met.unionByName(spelt.select("src", F.col("mended").alias("centre"), F.col("n").alias("c"), "mended", "n"))
     met = stored(met, "met")
     total = met.groupBy("src", "centre").agg(F.sum("n").alias("total"), F.max("c").alias("c")).join(least.select("src", "least"), "src").filter("total >= least").select("src", "centre", "c", "least")
     total = stored(total, "total")

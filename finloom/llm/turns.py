@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -136,19 +137,26 @@ FAR = 5.0
 def _assigned(names: list[Name], people: list[Person], alone: bool = False) -> list[tuple[Name, Person]]:
     """Names and the people they mean: one to one, at least total cost; a name meets the people of its phonetic blocks,
     or all where those hold nobody near. With ``alone`` a name with two nearest people goes to neither."""
+    if len(people) == 1:
+        # A column of its own needs no more than its least cost.
+        n = min(names, key=lambda n: _same(people[0], n))
+        return [(n, people[0])] if _same(people[0], n) < FAR else []
     costs = []
     for n in names:
         near = [_same(p, n) if p.blocks & blocks(n) else FAR for p in people]
         if min(near) >= FAR:
             near = [min(_same(p, n), FAR) for p in people]
         least = min(near)
+        if len(names) == 1:
+            return [] if least >= FAR or alone and near.count(least) > 1 else [(n, people[near.index(least)])]
         costs.append([FAR] * len(near) if alone and near.count(least) > 1 else [min(c, FAR) for c in near])
     got = assign([row + [FAR] * len(names) for row in costs])
     return [(n, people[j]) for n, row, j in zip(names, costs, got, strict=True) if j < len(people) and row[j] < FAR]
 
 
-def place(names: list[Name], roster: list[str]) -> dict[Name, Person]:
-    """Whom each name means. The roster's people come first, in its order, its spellings of one person together."""
+@lru_cache(maxsize=5_000)
+def people_of(roster: tuple[str, ...]) -> list[list[Name]]:
+    """The roster's people in its order, the spellings of one person together."""
     known: list[Person] = []
     for r in dict.fromkeys(n for n in map(parse, roster) if n):
         p = next((p for p in known if _same(p, r) < FAR), None)
@@ -156,6 +164,15 @@ def place(names: list[Name], roster: list[str]) -> dict[Name, Person]:
             known.append(Person(r))
         else:
             p.add(r)
+    return [p.names for p in known]
+
+
+def place(names: list[Name], roster: list[str]) -> dict[Name, Person]:
+    """Whom each name means, among the roster's people and those whom it does not know."""
+    known = [Person(None) for _ in people_of(tuple(roster))]
+    for p, own in zip(known, people_of(tuple(roster)), strict=True):
+        for n in own:
+            p.add(n)
     spelt = {n: p for p in reversed(known) for n in p.names}
     out: dict[Name, Person] = {}
     here: dict[Person, None] = {}
@@ -198,8 +215,8 @@ class Speakers:
 
 def _seconds(mark: str) -> tuple[int, bool]:
     """The time of a mark and whether it has hours."""
-    got = [int(x) for x in re.findall(r"\d+", re.sub(r"[.,]\d+", "", mark))]
-    return sum(x * 60**k for k, x in enumerate(reversed(got[-3:]))), len(got) > 2
+    got = mark.strip("[](){}<> \t").replace(",", ".").partition(".")[0].split(":") if ":" in mark else re.findall(r"\d+", mark)
+    return sum(int(x) * 60**k for k, x in enumerate(reversed(got))), len(got) > 2
 
 
 def in_time(parts: list[tuple[str | None, str | None, str]]) -> list[tuple[str | None, str]]:
@@ -217,7 +234,7 @@ def in_time(parts: list[tuple[str | None, str | None, str]]) -> list[tuple[str |
                 at += hours
             last = at
         told.append((at, tuple(rest)))
-    return [x for _, x in sorted(told, key=lambda p: p[0])]
+    return [x for _, x in sorted(told, key=itemgetter(0))]
 
 
 def turns(text: str | None, speaker: str | None, gone: frozenset[int] | set[int] = frozenset(), roster: list[str] | None = None) -> list[tuple[Person, str, int]]:
@@ -226,7 +243,7 @@ def turns(text: str | None, speaker: str | None, gone: frozenset[int] | set[int]
     if not text:
         return []
     parts: list[tuple[str | None, str | None, str]] = []
-    raw, mark = text.split("\n"), None
+    raw, mark, spans = text.split("\n"), None, _SPAN.search(text) is not None
     for i, line in enumerate(raw, 1):
         if i in gone:
             continue
@@ -243,7 +260,7 @@ def turns(text: str | None, speaker: str | None, gone: frozenset[int] | set[int]
                 mark = m[0]
             if ":" in piece:
                 piece = _TIME.sub(" ", piece)
-            parts.append((mark, *label(_SPAN.sub(" ", piece))))
+            parts.append((mark, *label(_SPAN.sub(" ", piece) if spans else piece)))
             mark = None
     told = in_time(parts)
     people = Speakers(speaker, [w for w, _ in told if w], roster or [])
@@ -258,7 +275,7 @@ def turns(text: str | None, speaker: str | None, gone: frozenset[int] | set[int]
         if not now.no:
             n_people += 1
             now.no = n_people
-        words = " ".join(p for p in pieces if _COUNTED[p] or not _HAS.search(p))
+        words = " ".join(pieces if n == len(pieces) else [p for p in pieces if _COUNTED[p] or not _HAS.search(p)])
         if out and out[-1][0] is now:
             out[-1] = (now, out[-1][1] + " " + words, out[-1][2] + n)
         else:
