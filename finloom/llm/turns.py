@@ -154,26 +154,20 @@ def _assigned(names: list[Name], people: list[Person], alone: bool = False) -> l
     return [(n, people[j]) for n, row, j in zip(names, costs, got, strict=True) if j < len(people) and row[j] < FAR]
 
 
-@lru_cache(maxsize=5_000)
-def people_of(roster: tuple[str, ...]) -> list[list[Name]]:
-    """The roster's people in its order, the spellings of one person together."""
-    known: list[Person] = []
-    for r in dict.fromkeys(n for n in map(parse, roster) if n):
-        p = next((p for p in known if _same(p, r) < FAR), None)
-        if p is None:
-            known.append(Person(r))
-        else:
-            p.add(r)
-    return [p.names for p in known]
+def people_of(names: list[str]) -> list[str]:
+    """One name for each person: those that are not near one before them."""
+    out: list[tuple[str, Name]] = []
+    for x in names:
+        n = parse(x)
+        if n and all(cost(n, m) >= FAR for _, m in out):
+            out.append((x, n))
+    return [x for x, _ in out]
 
 
 def place(names: list[Name], roster: list[str]) -> dict[Name, Person]:
     """Whom each name means, among the roster's people and those whom it does not know."""
-    known = [Person(None) for _ in people_of(tuple(roster))]
-    for p, own in zip(known, people_of(tuple(roster)), strict=True):
-        for n in own:
-            p.add(n)
-    spelt = {n: p for p in reversed(known) for n in p.names}
+    spelt = {n: Person(n) for n in map(parse, roster) if n}
+    known = list(spelt.values())
     out: dict[Name, Person] = {}
     here: dict[Person, None] = {}
 
@@ -383,6 +377,10 @@ def roster(chunks: DataFrame) -> DataFrame:
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([cost(parse(x), parse(y)) < FAR for x, y in zip(a, b, strict=True)], dtype="bool")
 
+    @F.pandas_udf("array<string>")
+    def each(names: pd.Series) -> pd.Series:
+        return names.map(people_of)
+
     typed = chunks.filter("speaker is not null and doc_id is not null").select(F.coalesce("ticker", F.lit("")).alias("ticker"), "doc_id", "speaker").groupBy("ticker", "doc_id", "speaker").agg(F.count(F.lit(1)).alias("n"))
     named = stored(typed.withColumn("r", read("speaker")).select("ticker", "doc_id", "n", "r.block", "r.full").filter("block is not null"), "named")
     fulls = named.filter("full is not null").groupBy("ticker", "block", "full").agg(F.sum("n").alias("n"))
@@ -391,4 +389,5 @@ def roster(chunks: DataFrame) -> DataFrame:
     one = heads.groupBy("ticker", "block").agg(F.min("head").alias("head"), F.max("head").alias("last"), F.max("often").alias("often")).filter("head = last").drop("last")
     people = named.filter("full is not null").join(heads, ["ticker", "block", "full"]).select("doc_id", "head", "often")
     people = people.unionByName(named.filter("full is null").join(one, ["ticker", "block"]).select("doc_id", "head", "often"))
-    return people.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_set(F.struct((-F.col("often")).alias("often"), F.col("head").alias("name")))), lambda x: x["name"]).alias("_roster"))
+    own = F.transform(F.sort_array(F.collect_set(F.struct((-F.col("often")).alias("often"), F.col("head").alias("name")))), lambda x: x["name"])
+    return people.groupBy("doc_id").agg(own.alias("_names")).select("doc_id", each("_names").alias("_roster"))
