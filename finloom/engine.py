@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finloom.config import SearchConfig
+from finloom.functions.text import words
 from finloom.operators import dense, fusion, lexical
 from finloom.operators.predicates import compile_where
-from finloom.plans.runtime import few, small
+from finloom.plans.runtime import few, ship, small
 
 LEGS = ["lexical", "dense"]
 
@@ -23,10 +24,11 @@ class Engine:
     """
 
     def __init__(self, chunks: DataFrame, embed: Callable | None = None, key: str = "chunk_id", text: str = "text", fields: tuple[str, ...] = ("text", "ticker", "doc_type"), index: lexical.Index | None = None, vectors: DataFrame | None = None, config: SearchConfig = SearchConfig(), aliases: dict[str, str] | None = None):
+        ship(chunks.sparkSession)
         self.chunks, self.key, self.text, self.config = chunks, key, text, config
         self.embed = embed or dense.hash_embedder()
         self.aliases = aliases or {"company": "ticker"}
-        self.index = index or lexical.build_index(chunks, key, *[f for f in fields if f in chunks.columns])
+        self.index = index or lexical.build_index(chunks, key, *[f for f in fields if f in chunks.columns], split=words)
         self.vectors = vectors if vectors is not None else chunks.filter(F.length(text) > 0).select(key, self.embed(text).alias("embedding"))
 
     def _allowed(self, where: dict | None) -> DataFrame | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +35,19 @@ def terms(text: str | Column) -> Column:
     return F.coalesce(F.array_remove(F.split(F.lower(col), TERM_SPLIT), ""), F.array().cast("array<string>"))
 
 
+#: Latin letters with marks and the letters without them, by decomposition.
+MARKED = {c: d for c in map(chr, range(0xC0, 0x250)) if c.islower() and (d := unicodedata.normalize("NFD", c)[0]).isascii()}
+#: Words are runs of letters and digits of any script, in lower case and without marks on Latin letters.
+WORD_SPLIT = r"[^\p{L}\p{N}]+"
+
+
+def words(text: str | Column) -> Column:
+    """Array of a text's words in any script, in order; empty for null."""
+    col = F.lower(F.col(text) if isinstance(text, str) else text)
+    col = F.translate(col, "".join(MARKED), "".join(MARKED.values()))
+    return F.coalesce(F.array_remove(F.split(col, WORD_SPLIT), ""), F.array().cast("array<string>"))
+
+
 # Phrases that stand on lines of their own in filings and transcripts and say nothing.
 BOILERPLATE = ["table of contents", "page \\d+( of \\d+)?", "all rights reserved", "this page intentionally left blank", "united states securities and exchange commission", "washington, d\\.?c\\.? \\d{5}", "forward[- ]looking statements?"]
 

@@ -6,6 +6,7 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows that a checked broadcast may have.
 BROADCAST_ROWS = 1_000_000
+#: Largest number of bytes of its values.
+BROADCAST_BYTES = 64 << 20
 
 
 def session(app: str = "finloom", cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -99,9 +102,30 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves that it has at most ``rows`` rows, else as it is (a shuffle join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def kept(spark: SparkSession, name: str, build: Callable[[str], None]) -> str:
+    """The folder in the shared folder that ``build`` has filled under this name, once an application: for indexes that
+    many queries ask. It is built anew if it has gone."""
+    hadoop, key = spark.sparkContext._jvm.org.apache.hadoop.fs, (spark.sparkContext.applicationId, name)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    there = _KEPT.get(key)
+    if there is None or not hadoop.Path(f"{there}/_built").getFileSystem(conf).exists(hadoop.Path(f"{there}/_built")):
+        there = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+        build(there)
+        hadoop.Path(there).getFileSystem(conf).create(hadoop.Path(f"{there}/_built")).close()
+        _KEPT[key] = there
+    return there
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if a count proves that it has at most ``rows`` rows of together at most ``size``
+    bytes, else as it is (a shuffle join)."""
+    wide = {"string": F.octet_length, "binary": F.octet_length}
+    width = [F.coalesce(wide[t](F.col(f"`{c}`")), F.lit(0)) if t in wide else F.lit(8) if not t.startswith(("array", "map", "struct")) else F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))) for c, t in df.dtypes]
+    n, b = df.limit(rows + 1).select(sum(width, F.lit(0)).cast("bigint").alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
+    return F.broadcast(df) if n <= rows and (b or 0) <= size else df
 
 
 def spread(df: DataFrame) -> DataFrame:

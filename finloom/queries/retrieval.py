@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finloom.functions.text import MARKED, terms, words
 from finloom.operators import analytics, dense, fusion, lexical, records
 from finloom.operators.predicates import compile_where
-from finloom.plans.runtime import few, small, table
+from finloom.plans.runtime import few, kept, small, table
 from finloom.queries import query
 from finloom.queries.text import _terms
+from finloom.sources import sinks
 
 
 def _where(spark: SparkSession, d: str, where: dict) -> DataFrame:
@@ -49,8 +51,10 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_questions").filter("item_id % 100 = 0").select(F.col("item_id").alias("query"), "question", "ticker")
 
 
-def _index(spark: SparkSession, d: str) -> lexical.Index:
-    return lexical.build_index(table(spark, d, "documents"), "doc_id", "text", "ticker", "doc_type")
+def _index(spark: SparkSession, d: str, split=terms) -> lexical.Index:
+    """The stored index of the documents, built by the first query that asks it."""
+    build = lambda path: sinks.save_index(lexical.build_index(table(spark, d, "documents"), "doc_id", "text", "ticker", "doc_type", split=split), path)
+    return sinks.read_index(spark, kept(spark, f"{split.__name__} {d}", build), split)
 
 
 _WORDS = "concat(" + ", ".join(_terms(f"coalesce({c}, '')") for c in ("text", "ticker", "doc_type")) + ")"
@@ -274,3 +278,83 @@ def union_hits(spark: SparkSession, d: str) -> DataFrame:
 def anti_delete(spark: SparkSession, d: str) -> DataFrame:
     """Documents left after the deletion of those whose ids the vectors have."""
     return records.delete_by_ids(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+
+
+def _any_script(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate(lower({c}), '{''.join(MARKED)}', '{''.join(MARKED.values())}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+_W_WORDS = " || ".join(_any_script(f"coalesce({c}, '')") for c in ("text", "ticker", "doc_type"))
+_INDEX = f"""
+w AS MATERIALIZED (SELECT doc_id, {_W_WORDS} AS t FROM documents), len AS (SELECT doc_id, len(t) AS dl FROM w), st AS (SELECT count(*) AS n, avg(dl) AS al FROM len),
+q AS (SELECT DISTINCT item_id AS query, term FROM (SELECT item_id, unnest({_any_script('question')}) AS term FROM eval_questions WHERE QUERIES)),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf, al FROM df, st),
+s AS (SELECT query, p.doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))) AS score, count(*) AS matched FROM p JOIN q USING (term) JOIN idf USING (term) JOIN len USING (doc_id) GROUP BY query, p.doc_id),
+lex AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s)"""
+_STATED, _EVERY = _INDEX.replace("QUERIES", "item_id % 100 = 0"), _INDEX.replace("QUERIES", "true")
+
+
+@query(f"SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM (SELECT doc_id, unnest({_W_WORDS}) AS term FROM documents) GROUP BY term")
+def index_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Words of any script with their document frequencies, as the stored index has them."""
+    return _index(spark, d, words).terms
+
+
+@query(f"WITH {_STATED} SELECT query, doc_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM lex WHERE rank <= 10")
+def index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over words of any script, from the stored index."""
+    got = lexical.top_k(lexical.bm25(_index(spark, d, words), _questions(spark, d), "query", "question"), "query", 10)
+    return got.select("query", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"WITH {_EVERY} SELECT query, doc_id, round(score, 6) AS score FROM s WHERE matched = (SELECT count(*) FROM q WHERE q.query = s.query)")
+def index_all_terms(spark: SparkSession, d: str) -> DataFrame:
+    """AND search: documents with all words of a question, for every question."""
+    q = table(spark, d, "eval_questions").select(F.col("item_id").alias("query"), "question")
+    got = lexical.bm25(_index(spark, d, words), q, "query", "question", match_all=True)
+    return got.select("query", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_HYBRID = _FUSED.replace(_BM25, _STATED)
+
+
+@query(_HYBRID + " SELECT query, doc_id, round(score, 9) AS score, CAST(rank AS BIGINT) AS rank FROM o WHERE rank <= 10")
+def index_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Fused ranks of the stored index over words of any script and of the vectors."""
+    lex = lexical.top_k(lexical.bm25(_index(spark, d, words), _questions(spark, d), "query", "question"), "query", 30).select("query", "doc", "rank")
+    legs = {**_legs(spark, d, 30), "lexical": (lex, 0.5)}
+    got = fusion.best(fusion.fuse(legs), ["lexical", "dense"], 10)
+    return got.select("query", F.col("doc").alias("doc_id"), F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+_LEXICAL_IR = f"""WITH {_EVERY}, j AS (SELECT lex.query, lex.rank, coalesce(dd.ticker = i.ticker, false) AS rel, i.category FROM lex JOIN eval_questions i ON i.item_id = lex.query JOIN documents dd USING (doc_id) WHERE rank <= 5),
+m AS (SELECT query, any_value(category) AS category, max(CASE WHEN rel AND rank <= 1 THEN 1.0 ELSE 0.0 END) AS h1, max(CASE WHEN rel AND rank <= 3 THEN 1.0 ELSE 0.0 END) AS h3, max(CASE WHEN rel THEN 1.0 ELSE 0.0 END) AS h5, coalesce(1.0 / min(CASE WHEN rel THEN rank END), 0.0) AS rr FROM j GROUP BY query)"""
+
+
+@query(_LEXICAL_IR + " SELECT coalesce(category, 'all') AS category, count(*) AS n, round(100 * avg(h1), 6) AS hit_1, round(100 * avg(h3), 6) AS hit_3, round(100 * avg(h5), 6) AS hit_5, round(avg(rr), 6) AS mrr FROM m GROUP BY ROLLUP (category)")
+def lexical_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of the lexical leg alone over all questions, in percent, by category and over all."""
+    q = table(spark, d, "eval_questions").select(F.col("item_id").alias("query"), "question", F.col("ticker").alias("asked"), "category")
+    hits = lexical.top_k(lexical.bm25(_index(spark, d, words), q, "query", "question"), "query", 5).select("query", F.col("doc").alias("doc_id"), "rank")
+    rows = table(spark, d, "documents").select("doc_id", "ticker").join(few(hits, q, 5), "doc_id").join(small(q.drop("question")), "query")
+    rel = F.coalesce(F.col("ticker") == F.col("asked"), F.lit(False))
+    hit = lambda k: F.max(F.when(rel & (F.col("rank") <= k), 1.0).otherwise(0.0)).alias(f"h{k}")
+    per = rows.groupBy("query", "category").agg(hit(1), hit(3), hit(5), F.coalesce(1.0 / F.min(F.when(rel, F.col("rank"))), F.lit(0.0)).alias("rr"))
+    out = per.rollup("category").agg(F.count(F.lit(1)).alias("n"), *[F.round(100 * F.avg(f"h{k}"), 6).alias(f"hit_{k}") for k in (1, 3, 5)], F.round(F.avg("rr"), 6).alias("mrr"))
+    return out.withColumn("category", F.coalesce("category", F.lit("all")))
+
+
+_OVERLAP = _FUSED.replace("o AS (SELECT *, ls + ds", "o0 AS (SELECT *, ls + ds") + """, ws AS (SELECT unnest([0.3, 0.5, 0.7]) AS lw),
+r3 AS (SELECT lw, query, doc_id, row_number() OVER (PARTITION BY lw, query ORDER BY round(2 * (lw * ls + (1 - lw) * ds), 9) DESC, least(coalesce(lr, 2147483647), coalesce(dr, 2147483647)), coalesce(lr, 2147483647), coalesce(dr, 2147483647), doc_id) AS rank FROM f, ws)"""
+
+
+@query(_OVERLAP + " SELECT a.lw AS lexical_weight, a.query, count(b.doc_id) AS shared FROM r3 a LEFT JOIN r3 b ON b.lw = 0.5 AND b.query = a.query AND b.doc_id = a.doc_id AND b.rank <= 3 WHERE a.rank <= 3 GROUP BY a.lw, a.query")
+def weight_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the best three under several weights are also among the best three under equal weights."""
+    legs, names = _legs(spark, d, 30), ["lexical", "dense"]
+    best = lambda w: fusion.best(fusion.fuse({"lexical": (legs["lexical"][0], w), "dense": (legs["dense"][0], 1 - w)}), names, 3)
+    even = best(0.5).select("query", "doc", F.lit(1).alias("hit"))
+    parts = [best(w).select(F.lit(w).cast("decimal(2,1)").alias("lexical_weight"), "query", "doc").join(even, ["query", "doc"], "left") for w in (0.3, 0.5, 0.7)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("lexical_weight", "query").agg(F.count("hit").alias("shared"))

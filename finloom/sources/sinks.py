@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finloom.functions.html import html_tables
+from finloom.functions.text import words
 from finloom.operators.lexical import Index, build_index
 from finloom.operators.records import upsert
 
@@ -42,17 +45,24 @@ def write_tables(pages: DataFrame, key: str, html: str, path: str) -> None:
     table_cells(pages, key, html).write.mode("overwrite").option("header", "true").csv(path)
 
 
-def write_index(docs: DataFrame, doc: str, fields: list[str], path: str) -> None:
-    """The lexical index as three tables; postings are ranged and sorted by term, so that a lookup of terms reads few
-    files. Rows with a null id or without text are left out, an id's last row wins by order of ``doc``."""
-    index = build_index(docs.filter(F.col(doc).isNotNull() & (F.length(fields[0]) > 0)).dropDuplicates([doc]), doc, *fields)
+def write_index(docs: DataFrame, doc: str, fields: list[str], path: str, split: Callable = words) -> None:
+    """The lexical index as four tables; postings and terms are ranged and sorted by term, so that a lookup of terms
+    reads few row groups. Rows with a null id or without text are left out; of rows of one id the one with the greatest
+    fields stands."""
+    kept = docs.filter(F.col(doc).isNotNull() & (F.length(fields[0]) > 0)).groupBy(doc).agg(F.max(F.struct(*fields)).alias("_r")).select(doc, "_r.*")
+    save_index(build_index(kept, doc, *fields, split=split), path)
+
+
+def save_index(index: Index, path: str) -> None:
     index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    stored = index.lengths.sparkSession.read.parquet(f"{path}/postings")
+    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
 
-def read_index(spark, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")))
+def read_index(spark, path: str, split: Callable = words) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats", "terms")), split)
 
 
 def write_vectors(chunks: DataFrame, embed, path: str, key: str = "chunk_id", text: str = "text", tokens: str = "chunk_tokens", least: int = 50) -> None:
