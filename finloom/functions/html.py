@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 # Elements whose content is no text of the page, elements that end a line, and void elements.
 DROPPED = frozenset("script style nav header footer noscript template ix:header ix:hidden".split())
 BLOCKS = frozenset("p div section article main table tr ul ol li h1 h2 h3 h4 h5 h6 br hr blockquote pre title dd dt".split())
+# Fixed value: parts of class names of page furniture.
+DROPPED_CLASS = re.compile("header|footer|navigation|menu|nav", re.I)
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 
 
@@ -23,7 +25,9 @@ class Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.dropped = 0
+        self.open: list[str] = []
+        # Depth of the dropped element that the reader is in; what was left open inside it ends with it.
+        self.dropped: int | None = None
         self.lists: list[list] = []
         self.cells: list[str] | None = None
         self.rows: list[list[str]] = []
@@ -33,12 +37,14 @@ class Reader(HTMLParser):
         self.in_title = False
 
     def handle_starttag(self, tag, attrs):
-        if tag in DROPPED or dict(attrs).get("style", "").replace(" ", "") == "display:none":
-            if tag not in VOID:
-                self.dropped += 1
+        if tag not in VOID:
+            self.open.append(tag)
+        if self.dropped is not None:
             return
-        if self.dropped:
-            self.dropped += tag not in VOID
+        given = {k: v or "" for k, v in attrs}
+        if tag in DROPPED or given.get("style", "").replace(" ", "").startswith("display:none") or DROPPED_CLASS.search(given.get("class", "")):
+            if tag not in VOID:
+                self.dropped = len(self.open)
             return
         if tag == "title":
             self.in_title = True
@@ -63,8 +69,13 @@ class Reader(HTMLParser):
             self._add("\n")
 
     def handle_endtag(self, tag):
-        if self.dropped:
-            self.dropped -= tag not in VOID
+        # An end tag closes what was left open since its start; one without a start closes nothing.
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+        if self.dropped is not None:
+            if len(self.open) < self.dropped:
+                self.dropped = None
             return
         if tag == "title":
             self.in_title = False
@@ -85,7 +96,7 @@ class Reader(HTMLParser):
             self._add("\n\n" if tag in ("p", "div") or tag.startswith("h") else "\n")
 
     def handle_data(self, data):
-        if not self.dropped:
+        if self.dropped is None:
             if self.in_title:
                 self.title.append(data)
             else:

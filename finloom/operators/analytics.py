@@ -85,3 +85,12 @@ def answer_in(answer: str | Column, text: str | Column) -> Column:
     a, t = (F.col(c) if isinstance(c, str) else c for c in (answer, text))
     squeezed = lambda c: F.regexp_replace(F.lower(c), ",", "")
     return (F.length(a) > 0) & squeezed(t).contains(squeezed(a))
+
+
+def success_rates(checks: DataFrame, category: str, ok: str, error: str | None = None, good: float = 80.0, fair: float = 75.0) -> DataFrame:
+    """(category, n, rate, verdict): the share of checks that succeed, in percent, and whether it is good, fair or poor.
+    Checks with an ``error`` are left out first; a null ``ok`` is a failure."""
+    rows = checks.filter(F.col(error).isNull()) if error else checks
+    rate = 100.0 * F.avg(F.coalesce(F.col(ok), F.lit(False)).cast("int"))
+    out = rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"), rate.alias("_r"))
+    return out.select(category, "n", F.round("_r", 6).alias("rate"), F.when(F.col("_r") >= good, "good").when(F.col("_r") >= fair, "fair").otherwise("poor").alias("verdict"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finloom.operators.lexical import top_k
-from finloom.plans.runtime import spread
+from finloom.plans.runtime import small, spread
 
 #: Queries that one pass holds in a worker; more are answered in further passes.
 QUERY_BLOCK = 4096
@@ -86,10 +86,13 @@ def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_i
         m = (np.stack(v.to_numpy()) @ planes.T > 0).reshape(len(v), tables, bits)
         return pd.Series(list((m * (1 << np.arange(bits))).sum(2).astype(np.int32)))
 
-    base = vectors.filter(F.size(vector) == width).select(F.col(vec_id).alias("doc"), F.col(vector).alias("v"), F.posexplode(signs(vector)).alias("t", "b"))
+    fit = lambda df: df.filter(F.size(vector) == width)
+    base = fit(vectors).select(F.col(vec_id).alias("doc"), F.posexplode(signs(vector)).alias("t", "b"))
     flips = F.array(*[F.lit(0), *[F.lit(1 << i) for i in range(bits)]])
-    asked = queries.filter(F.size(vector) == width).select(query, F.col(vector).alias("q"), F.posexplode(signs(vector)).alias("t", "b0")).withColumn("f", F.explode(flips)).select(query, "q", "t", F.col("b0").bitwiseXOR(F.col("f")).alias("b"))
-    near = base.join(asked, ["t", "b"]).dropDuplicates([query, "doc"])
+    asked = fit(queries).select(query, F.posexplode(signs(vector)).alias("t", "b0")).withColumn("f", F.explode(flips)).select(query, "t", F.col("b0").bitwiseXOR(F.col("f")).alias("b"))
+    # Only ids meet; the vectors are fetched once for each pair that met.
+    near = base.join(small(asked), ["t", "b"]).select(query, "doc").distinct()
+    near = near.join(fit(vectors).select(F.col(vec_id).alias("doc"), F.col(vector).alias("v")), "doc").join(small(fit(queries).select(query, F.col(vector).alias("q"))), query)
     dist = F.aggregate(F.zip_with("v", "q", lambda a, b: (a.cast("double") - b.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
     return top_k(near.select(query, "doc", dist.alias("distance")), query, k, "distance", descending=False)
 

@@ -88,14 +88,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, statistics are exact and
     the loss of an executor costs nothing that was computed before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files that a query writes and reads; ``release`` deletes it."""
+    _WRITTEN.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def release(spark: SparkSession) -> None:
-    """Delete the tables that ``stored`` has written; results that still read them must have been written before."""
+    """Delete the tables that ``stored`` has written and the files of queries; results that still read them must have been written before."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     while _WRITTEN:
         path = hadoop.Path(_WRITTEN.pop())

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from finloom.functions import text
 from finloom.operators import analytics, chunking, records, transcripts
-from finloom.plans.runtime import shared_dir, spread, table
+from finloom.plans.runtime import scratch, spread, table
 from finloom.queries import query
 from finloom.queries.text import _toks
-from finloom.schemas import CHUNK_REQUIRED, CHUNK_SCHEMA, CHUNK_TYPES, DOC_TYPES, PHASES, QUARTERS, SPEAKER_ROLES
+from finloom.schemas import CHUNK_REQUIRED, CHUNK_SCHEMA, CHUNK_TYPES, DOC_TYPES, PHASES, QUARTERS, SPEAKER_ROLES, UNIT_SCHEMA
 from finloom.sources import sinks
 from finloom.streaming import ingest
 
@@ -252,12 +250,12 @@ _ERR = f"list_filter([{_ERR}], lambda x: x IS NOT NULL)"
 
 @query(f"SELECT chunk_key, array_to_string({_ERR}, '; ') AS errors FROM chunks")
 def validate_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_key", F.array_join(records.chunk_errors(), "; ").alias("errors"))
+    return table(spark, d, "chunks").select("chunk_key", F.array_join(records.chunk_errors(columns=CHUNK_SCHEMA.names), "; ").alias("errors"))
 
 
 @query(f"SELECT kind, count(*) AS n FROM (SELECT unnest(CASE WHEN len(e) = 0 THEN ['valid'] ELSE list_transform(e, lambda x: string_split(x, ':')[1]) END) AS kind FROM (SELECT {_ERR} AS e FROM chunks)) GROUP BY kind")
 def validation_report(spark: SparkSession, d: str) -> DataFrame:
-    return records.error_report(table(spark, d, "chunks"), records.chunk_errors())
+    return records.error_report(table(spark, d, "chunks"), records.chunk_errors(columns=CHUNK_SCHEMA.names))
 
 
 @query()
@@ -381,7 +379,7 @@ def build_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_type, count(*) AS n, count(DISTINCT chunk_id) AS ids, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM chunks GROUP BY doc_type")
 def scan_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks written as JSON lines by ticker and read back with the chunk reader."""
-    path = f"{shared_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    path = scratch(spark, "chunks")
     c = table(spark, d, "chunks").select(*CHUNK_SCHEMA.names)
     sinks.write_chunks(c.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(8))), path, ("part",))
     rows = spark.read.schema(CHUNK_SCHEMA).json(path)
@@ -391,7 +389,7 @@ def scan_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_type, count(DISTINCT chunk_id) AS n FROM chunks WHERE chunked_at IS NOT NULL GROUP BY doc_type")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The same chunks as a stream of files: each id is appended once."""
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     table(spark, d, "chunks").select(*CHUNK_SCHEMA.names).write.json(f"{base}/in")
     ingest.append_to(ingest.chunk_stream(spark, f"{base}/in", late="36500 days"), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"))
@@ -419,3 +417,42 @@ def metadata_map(spark: SparkSession, d: str) -> DataFrame:
     m = F.map_filter(F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c))]), lambda k, v: v.isNotNull())
     rows = table(spark, d, "chunks").filter("chunk_tokens >= 50 and text <> ''").select("chunk_key", m.alias("m"))
     return rows.select("chunk_key", *[F.try_element_at("m", F.lit(c)).alias(c) for c in cols])
+
+
+@query(r"""SELECT chunk_key, CASE WHEN regexp_matches(c, '(?i)\b(?:CEO|Chief Executive Officer)\b') THEN 'CEO' WHEN regexp_matches(c, '(?i)\b(?:CFO|Chief Financial Officer)\b') THEN 'CFO' WHEN regexp_matches(c, '(?i)\b(?:COO|Chief Operating Officer)\b') THEN 'COO'
+  WHEN regexp_matches(c, '(?i)\b(?:CTO|Chief Technology Officer)\b') THEN 'CTO' WHEN regexp_matches(c, '(?i)\bPresident\b') THEN 'President' WHEN regexp_matches(c, '(?i)\bChairman\b') THEN 'Chairman' WHEN firm IS NOT NULL THEN 'Analyst' WHEN regexp_matches(c, '(?i)\b(?:Operator|Moderator)\b') THEN 'Operator' ELSE 'Unknown' END AS role,
+  CASE WHEN NOT regexp_matches(c, '(?i)\b(?:CEO|Chief Executive Officer|CFO|Chief Financial Officer|COO|Chief Operating Officer|CTO|Chief Technology Officer|President|Chairman)\b') THEN firm END AS firm
+  FROM (SELECT *, list_filter(['Goldman Sachs', 'Morgan Stanley', 'JP Morgan', 'JPMorgan', 'Bank of America', 'Citigroup', 'Wells Fargo', 'Barclays', 'UBS', 'Credit Suisse', 'Deutsche Bank', 'Piper Sandler', 'Raymond James', 'Evercore', 'Jefferies', 'Stifel', 'Oppenheimer', 'Cowen', 'Bernstein', 'RBC', 'BMO', 'Mizuho', 'Needham'], lambda f: contains(lower(c), lower(f)))[1] AS firm
+  FROM (SELECT chunk_key, coalesce(speaker, '') || ' ' || coalesce(speaker_role, '') || ' ' || coalesce(['of UBS', 'from Jefferies, CEO', 'Operator at Needham', ''][1 + chunk_key % 4], '') AS c FROM chunks))""")
+def context_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Role and firm by what stands around a name: the executive's title first, then the firm, then the operator."""
+    more = F.element_at(F.array(*map(F.lit, ("of UBS", "from Jefferies, CEO", "Operator at Needham", ""))), (F.col("chunk_key") % 4 + 1).cast("int"))
+    said = F.concat(F.coalesce("speaker", F.lit("")), F.lit(" "), F.coalesce("speaker_role", F.lit("")), F.lit(" "), more)
+    return table(spark, d, "chunks").select("chunk_key", transcripts.speaker_role(said).alias("r")).select("chunk_key", "r.role", "r.firm")
+
+
+@query("""SELECT chunk_key, array_to_string(list_filter([CASE WHEN chunk_id IS NULL THEN 'chunk_id' END, CASE WHEN doc_id IS NULL THEN 'doc_id' END, CASE WHEN ticker IS NULL THEN 'ticker' END, CASE WHEN company IS NULL THEN 'company' END, CASE WHEN doc_type IS NULL THEN 'doc_type' END,
+  CASE WHEN fiscal_year IS NULL THEN 'fiscal_year' END, CASE WHEN period IS NULL THEN 'period' END, CASE WHEN text IS NULL THEN 'text' END, CASE WHEN chunk_tokens IS NULL THEN 'chunk_tokens' END, CASE WHEN chunk_type IS NULL THEN 'chunk_type' END, CASE WHEN chunked_at IS NULL THEN 'chunked_at' END], lambda x: x IS NOT NULL), ',') AS missing,
+  coalesce(chunk_type IN ('section_packed', 'windowed_overlap', 'prepared_packed', 'qa_exchange', 'packed'), false) AS known_type FROM chunks""")
+def required_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Which required fields a chunk lacks, and whether its type is a known one."""
+    lacks = F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in CHUNK_REQUIRED])), ",")
+    return table(spark, d, "chunks").select("chunk_key", lacks.alias("missing"), F.coalesce(F.col("chunk_type").isin(CHUNK_TYPES), F.lit(False)).alias("known_type"))
+
+
+@query("SELECT unit_type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, text, CASE WHEN doc_type = 'earnings_transcript' THEN 'utterance' ELSE 'paragraph' END AS unit_type FROM chunks) GROUP BY unit_type")
+def scan_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units written as JSON lines, with blank lines between, and read back with the unit reader."""
+    kind = F.when(F.col("doc_type") == "earnings_transcript", "utterance").otherwise("paragraph")
+    units = table(spark, d, "chunks").select("doc_id", "chunk_id", "ticker", "doc_type", "text", kind.alias("unit_type"))
+    path = scratch(spark, "units")
+    units.select(F.concat(F.to_json(F.struct("*")), F.lit("\n")).alias("value")).write.text(path)
+    rows = spark.read.schema(UNIT_SCHEMA).json(path)
+    return rows.groupBy("unit_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("bigint").alias("n_chars"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("SELECT category, count(*) AS n, round(100.0 * avg(CASE WHEN answer_unit IS NOT NULL THEN 1 ELSE 0 END), 6) AS rate, CASE WHEN 100.0 * avg(CASE WHEN answer_unit IS NOT NULL THEN 1 ELSE 0 END) >= 80 THEN 'good' WHEN 100.0 * avg(CASE WHEN answer_unit IS NOT NULL THEN 1 ELSE 0 END) >= 75 THEN 'fair' ELSE 'poor' END AS verdict FROM eval_questions WHERE answer_value IS NOT NULL GROUP BY category")
+def success_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of checks that succeed, by category; failed ones (without a value) are left out first."""
+    rows = table(spark, d, "eval_questions").select("category", F.col("answer_unit").isNotNull().alias("ok"), F.when(F.col("answer_value").isNull(), "no value").alias("error"))
+    return analytics.success_rates(rows, "category", "ok", "error")

@@ -221,7 +221,15 @@ def extract_speakers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").filter("text is not null").select("chunk_key", F.array_join(F.sort_array(transcripts.speakers("text")), ";").alias("names"))
 
 
-@query()
+_LABEL = r"(?m)^([A-Z][a-z]+(?: [A-Z][a-z]+)+)(?: --[^:\n]*| \([^)\n]*\))?:"
+_QA_AT = " , ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN length(regexp_extract(lower(text), '(?s)^(.*?)(?:{p})', 1)) + 1 END" for p in ("question[- ]and[- ]answer", "q\\s*&\\s*a session", "first question", "open (?:up )?the (?:call|line|floor) (?:for|to) questions"))
+_UTTERANCES = f"""WITH m AS (SELECT chunk_key, coalesce({_QA_AT}) AS qa, string_split(regexp_replace(text, '{_LABEL}', chr(1) || '\\0', 'g'), chr(1)) AS ps FROM chunks WHERE doc_type = 'earnings_transcript' AND text IS NOT NULL),
+u AS (SELECT chunk_key, qa, ps, unnest(range(1, len(ps))) AS idx FROM m),
+v AS (SELECT chunk_key, qa, idx, regexp_extract(ps[idx + 1], '{_LABEL}', 1) AS speaker, coalesce(list_sum(list_transform(ps[1:idx], lambda x: length(x))), 0) + 1 AS position, trim(regexp_replace(regexp_replace(ps[idx + 1], '{_LABEL}', ''), '\s+', ' ', 'g'), ' ') AS said FROM u)
+SELECT chunk_key, CAST(idx AS INTEGER) AS idx, speaker, CAST(position AS INTEGER) AS position, CASE WHEN position >= qa THEN 'qa' ELSE 'prepared_remarks' END AS phase, CASE WHEN qa IS NULL OR position < qa THEN 'statement' WHEN contains(said, '?') THEN 'question' ELSE 'answer' END AS utterance_type, said AS text FROM v WHERE length(said) >= 10"""
+
+
+@query(_UTTERANCES)
 def parse_utterances(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.utterances(table(spark, d, "chunks").filter("doc_type = 'earnings_transcript'"), "chunk_key", "text")
 
@@ -295,3 +303,34 @@ def parse_filing(spark: SparkSession, d: str) -> DataFrame:
     meta = table(spark, d, "documents").select("doc_id", "ticker", F.lit("10-K").alias("form_type"), F.year("published_at").alias("fiscal_year"), F.lit("FY").alias("quarter"), F.col("published_at").cast("date").cast("string").alias("filing_date"), F.col("source").alias("source_file"))
     pages = _pages(spark, d).join(meta, "doc_id").withColumn("doc_id", F.col("doc_id").cast("string"))
     return units.filing_units(pages, "page")
+
+
+@query(f"SELECT chunk_key, regexp_replace(text, '{_LABEL}', '[SPEAKER: \\1]', 'g') AS tagged FROM chunks WHERE doc_type = 'earnings_transcript'")
+def tag_speakers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").filter("doc_type = 'earnings_transcript'").select("chunk_key", transcripts.tag_speakers("text").alias("tagged"))
+
+
+_FORM_SQL = r"""WITH p(form, section, pattern) AS (VALUES
+  ('10-K', 'Item 1', '(?i)ITEM\s*1[A-Z]?\b\.?\s*[-–—]?\s*BUSINESS'), ('10-K', 'Item 1A', '(?i)ITEM\s*1A\b\.?\s*[-–—]?\s*RISK\s+FACTORS'), ('10-K', 'Item 1B', '(?i)ITEM\s*1B\b\.?\s*[-–—]?\s*UNRESOLVED\s+STAFF'),
+  ('10-K', 'Item 2', '(?i)ITEM\s*2\b\.?\s*[-–—]?\s*PROPERTIES'), ('10-K', 'Item 3', '(?i)ITEM\s*3\b\.?\s*[-–—]?\s*LEGAL\s+PROCEEDINGS'), ('10-K', 'Item 4', '(?i)ITEM\s*4\b\.?\s*[-–—]?\s*MINE\s+SAFETY'),
+  ('10-K', 'Item 5', '(?i)ITEM\s*5\b\.?\s*[-–—]?\s*MARKET\s+FOR'), ('10-K', 'Item 6', '(?i)ITEM\s*6\b\.?\s*[-–—]?\s*(?:SELECTED|RESERVED)'), ('10-K', 'Item 7', '(?i)ITEM\s*7[A-Z]?\b\.?\s*[-–—]?\s*MANAGEMENT[''’]?S?\s+DISCUSSION'),
+  ('10-K', 'Item 7A', '(?i)ITEM\s*7A\b\.?\s*[-–—]?\s*QUANTITATIVE\s+AND\s+QUALITATIVE'), ('10-K', 'Item 8', '(?i)ITEM\s*8\b\.?\s*[-–—]?\s*FINANCIAL\s+STATEMENTS'), ('10-K', 'Item 9', '(?i)ITEM\s*9[ABC]?\b\.?\s*[-–—]?\s*(?:CHANGES\s+IN|CONTROLS|DISCLOSURE)'),
+  ('10-K', 'Item 10', '(?i)ITEM\s*10\b\.?\s*[-–—]?\s*DIRECTORS'), ('10-K', 'Item 11', '(?i)ITEM\s*11\b\.?\s*[-–—]?\s*EXECUTIVE\s+COMPENSATION'), ('10-K', 'Item 12', '(?i)ITEM\s*12\b\.?\s*[-–—]?\s*SECURITY\s+OWNERSHIP'),
+  ('10-K', 'Item 13', '(?i)ITEM\s*13\b\.?\s*[-–—]?\s*CERTAIN\s+RELATIONSHIPS'), ('10-K', 'Item 14', '(?i)ITEM\s*14\b\.?\s*[-–—]?\s*PRINCIPAL\s+(?:ACCOUNTANT|ACCOUNTING)'), ('10-K', 'Item 15', '(?i)ITEM\s*15\b\.?\s*[-–—]?\s*EXHIBITS'), ('10-K', 'Item 16', '(?i)ITEM\s*16\b\.?\s*[-–—]?\s*FORM\s+10-K'),
+  ('10-Q', 'Part I', '(?i)PART\s+I\.?\s*[-–—]?\s*FINANCIAL\s+INFORMATION'), ('10-Q', 'Item 1', '(?i)ITEM\s*1\b\.?\s*[-–—]?\s*FINANCIAL\s+STATEMENTS'), ('10-Q', 'Item 2', '(?i)ITEM\s*2\b\.?\s*[-–—]?\s*MANAGEMENT[''’]?S?\s+DISCUSSION'),
+  ('10-Q', 'Item 3', '(?i)ITEM\s*3\b\.?\s*[-–—]?\s*QUANTITATIVE\s+AND\s+QUALITATIVE'), ('10-Q', 'Item 4', '(?i)ITEM\s*4\b\.?\s*[-–—]?\s*CONTROLS\s+AND\s+PROCEDURES'), ('10-Q', 'Part II', '(?i)PART\s+II\.?\s*[-–—]?\s*OTHER\s+INFORMATION'),
+  ('10-Q', 'Item 1A', '(?i)ITEM\s*1A\b\.?\s*[-–—]?\s*RISK\s+FACTORS'), ('10-Q', 'Item 5', '(?i)ITEM\s*5\b\.?\s*[-–—]?\s*OTHER\s+INFORMATION'), ('10-Q', 'Item 6', '(?i)ITEM\s*6\b\.?\s*[-–—]?\s*EXHIBITS')),
+d AS (SELECT doc_id, doc_type, '=' || text || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Item 1. Financial Statements ' || text || ' ITEM 2 - Management’s Discussion' || chr(10) || text || 'Part II. Other Information' ELSE 'ITEM 1. BUSINESS ' || text || ' Item 1A. Risk Factors' || chr(10) || text || ' Item 9B. Controls' END AS page FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, section, page, length(string_split_regex(page, pattern)[1]) + 1 AS position FROM d JOIN p ON p.form = d.doc_type WHERE regexp_matches(page, pattern)),
+f AS (SELECT * FROM h UNION ALL SELECT doc_id, 'FULL', page, 1 FROM d WHERE doc_id NOT IN (SELECT doc_id FROM h))
+SELECT doc_id, section, CAST(position AS BIGINT) AS position, md5(substr(page, position, coalesce(lead(position) OVER (PARTITION BY doc_id ORDER BY position, section) - position, length(page)))) AS content FROM f"""
+
+
+@query(_FORM_SQL)
+def filing_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections by form over pages made of the documents' texts and some of their form's headings."""
+    t, n = F.col("text"), F.lit("\n")
+    q = F.concat(F.lit("Item 1. Financial Statements "), t, F.lit(" ITEM 2 - Management’s Discussion"), n, t, F.lit("Part II. Other Information"))
+    k = F.concat(F.lit("ITEM 1. BUSINESS "), t, F.lit(" Item 1A. Risk Factors"), n, t, F.lit(" Item 9B. Controls"))
+    pages = table(spark, d, "documents").filter("text is not null").select("doc_id", "doc_type", F.concat(F.lit("="), t, n, F.when(F.col("doc_id") % 2 == 0, q).otherwise(k)).alias("page"))
+    return transcripts.form_sections(pages, "doc_id", "page", "doc_type").select("doc_id", "section", F.col("position").cast("bigint").alias("position"), F.md5("content").alias("content"))

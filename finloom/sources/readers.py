@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finloom.functions.html import to_text
 from finloom.schemas import CHUNK_SCHEMA, UNIT_SCHEMA
@@ -31,7 +32,7 @@ def _json(spark, path, schema, strict):
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
     if strict:
         return reader.schema(schema).option("mode", "FAILFAST").json(path)
-    return reader.schema(schema.add("_corrupt_record", "string") if "_corrupt_record" not in schema.names else schema).option("mode", "PERMISSIVE").json(path)
+    return reader.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(path)
 
 
 def with_path_keys(df: DataFrame, pattern: str, names: list[str]) -> DataFrame:
@@ -115,9 +116,9 @@ READERS = {
 }
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, joiner: str = "\n") -> DataFrame:
     """(path, text, error) of all files below a path, read by their extension; a file that cannot be read, or of an
-    unknown kind, is a row with an error and no text."""
+    unknown kind, is a row with an error and no text. ``joiner`` stands between a PDF's pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -127,7 +128,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     if kind not in READERS:
                         raise ValueError(f"unknown file type: {kind}")
-                    out.append((p, READERS[kind](bytes(data)), None))
+                    out.append((p, pdf_text(bytes(data), joiner) if kind == "pdf" else READERS[kind](bytes(data)), None))
                 except Exception as e:  # noqa: BLE001
                     out.append((p, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "text", "error"])

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from finloom.functions.html import html_text, html_title
+from finloom.operators.transcripts import speakers
+
 
 def http_get(url: str, timeout: float = 30.0, agent: str = "finloom research contact@example.org") -> str:
     """The body of a URL."""
@@ -33,9 +36,10 @@ class Limited:
         return self.get(url)
 
 
-def rest_source(name: str, schema: str, urls: Callable[[dict], list[str]], rows: Callable[[str, str], Iterator[tuple]], get: Callable[[str], str] = http_get, pause: float = 0.1) -> type[DataSource]:
+def rest_source(name: str, schema: str, urls: Callable[[dict], list[str]], rows: Callable[[str, str], Iterator[tuple]], get: Callable[[str], str] = http_get, pause: float = 0.1, more: Callable[[dict, str], list[str]] | None = None) -> type[DataSource]:
     """A data source named ``name``: ``urls(options)`` lists its pages, each a partition when ``parallel`` is set, else
-    all in one so that the rate limit holds; ``rows(url, body)`` gives a page's rows."""
+    all in one so that the rate limit holds; ``rows(url, body)`` gives a page's rows. ``more(options, body)`` may read
+    from the first page which pages follow it."""
 
     class Page(InputPartition):
         def __init__(self, pages: list[str]):
@@ -52,8 +56,14 @@ def rest_source(name: str, schema: str, urls: Callable[[dict], list[str]], rows:
 
         def read(self, partition):
             limited = Limited(get, pause)
-            for url in partition.pages:
-                yield from rows(url, limited(url))
+            todo, first = list(partition.pages), True
+            while todo:
+                url = todo.pop(0)
+                body = limited(url)
+                if first and more:
+                    todo += more(self.options, body)
+                first = False
+                yield from rows(url, body)
 
     class Source(DataSource):
         @classmethod
@@ -100,8 +110,24 @@ def _transcripts(url: str, body: str) -> Iterator[tuple]:
 
 
 def transcript_source(get: Callable[[str], str] = http_get, pause: float = 5.0) -> type[DataSource]:
-    """(id, title, published) of a paged list; options ``base`` (with ``{page}``) and ``pages``."""
-    return rest_source("transcript_list", "id string, title string, published string", lambda o: [o["base"].replace("{page}", str(p)) for p in range(1, int(o["pages"]) + 1)], _transcripts, get, pause)
+    """(id, title, published) of a paged list; options ``base`` (with ``{page}``) and ``pages``, without which the list
+    is read to the ``totalPages`` that its first page tells."""
+
+    def url(o: dict, p: int) -> str:
+        return o["base"].replace("{page}", str(p))
+
+    def more(o: dict, body: str) -> list[str]:
+        return [] if "pages" in o else [url(o, p) for p in range(2, int(json.loads(body).get("meta", {}).get("page", {}).get("totalPages") or 1) + 1)]
+
+    return rest_source("transcript_list", "id string, title string, published string", lambda o: [url(o, p) for p in range(1, int(o.get("pages", 1)) + 1)], _transcripts, get, pause, more)
+
+
+def transcript_pages(pages: DataFrame, html: str = "html", most: int = 10) -> DataFrame:
+    """``pages`` with ``title``, ``quarter``, ``fiscal_year``, ``text`` and at most ``most`` ``participants``; the
+    participants are whoever has a label."""
+    rows = pages.withColumns({"title": html_title(html), "text": html_text(html)})
+    q = quarter_of_title("title")
+    return rows.withColumns({"quarter": q["quarter"], "fiscal_year": q["year"], "participants": F.slice(speakers("text"), 1, most)}).drop(html)
 
 
 def document_url(base: str, cik: str | Column, accession: str | Column, document: str | Column) -> Column:

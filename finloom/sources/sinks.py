@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finloom.functions.html import html_tables
@@ -30,6 +30,30 @@ def append_catalogue(old: DataFrame, new: DataFrame, keys: list[str], path: str)
     upsert(both, keys, [F.col("saved_at").desc()]).write.mode("overwrite").parquet(path)
 
 
+def write_transcripts(calls: DataFrame, path: str, text: str = "text") -> None:
+    """Transcripts by ticker, year and quarter; those without text are left out, the latest ``saved_at`` of a call stands."""
+    kept = upsert(calls.filter(F.length(text) > 0), ["ticker", "fiscal_year", "quarter"], [F.col("saved_at").desc_nulls_last()])
+    kept.write.mode("overwrite").partitionBy("ticker", "fiscal_year", "quarter").parquet(path)
+
+
+def rewrite_metadata(rows: DataFrame, fill: dict[str, Column], path: str) -> None:
+    """JSON lines with the columns of ``fill`` set where they were null, at a new path: what is read is not overwritten."""
+    rows.withColumns({c: F.coalesce(F.col(c), v) if c in rows.columns else v for c, v in fill.items()}).write.mode("errorifexists").json(path)
+
+
+def write_evaluation(results: DataFrame, path: str, **about: str) -> None:
+    """Measures of an evaluation as JSON lines, each with what the run was about."""
+    results.withColumns({k: F.lit(v) for k, v in about.items()}).write.mode("overwrite").json(path)
+
+
+def delete_documents(ids: DataFrame, tables: dict[str, DataFrame], path: str, doc: str = "doc_id") -> None:
+    """Every table without the rows of the documents in ``ids``, written to ``path/<name>``: chunks, vectors and
+    catalogue go together."""
+    gone = ids.select(doc).distinct()
+    for name, df in tables.items():
+        df.join(gone, doc, "left_anti").write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
 def write_markdown(pages: DataFrame, path: str, key: str = "doc_id", text: str = "markdown") -> None:
     """One text file a key below ``path/key=...``."""
     pages.select(key, F.col(text).alias("value")).repartition(key).write.mode("overwrite").option("lineSep", "\n").partitionBy(key).text(path)
