@@ -79,8 +79,8 @@ def unit_errors(columns: list[str]) -> Column:
 
 def chunk_errors(least: int = 200, most: int = 800, columns: list[str] | None = None) -> Column:
     """Array of what is wrong with a chunk: missing fields, values outside the vocabularies, fields of the other family,
-    blank text, an id of another form, sizes out of bounds, overlaps that do not fit. ``columns`` are the table's: a required field that it lacks is missing
-    in every row; without them ``company``, which a table may lack, is not looked at."""
+    blank text, an id of another form, sizes out of bounds, overlaps that do not fit. ``columns`` are the table's: a
+    required field that it lacks is missing in every row; without them ``company``, which a table may lack, is not looked at."""
     filing, n = F.col("doc_type").isin("10-K", "10-Q"), F.col("chunk_tokens")
     parts = [F.lit(f"missing: {c}") if columns and c not in columns else F.when(F.col(c).isNull(), F.lit(f"missing: {c}")) for c in CHUNK_REQUIRED if columns or c != "company"]
     parts += [_outside("doc_type", DOC_TYPES), _outside("quarter", QUARTERS), _outside("chunk_type", CHUNK_TYPES), _outside("phase", PHASES), _outside("speaker_role", SPEAKER_ROLES)]

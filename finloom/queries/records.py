@@ -258,13 +258,29 @@ def validation_report(spark: SparkSession, d: str) -> DataFrame:
     return records.error_report(table(spark, d, "chunks"), records.chunk_errors(columns=CHUNK_SCHEMA.names))
 
 
-@query()
+@query("""SELECT chunk_key, list_filter([CASE WHEN doc_id IS NULL THEN 'missing: doc_id' END, CASE WHEN chunk_id IS NULL THEN 'missing: chunk_id' END, CASE WHEN ticker IS NULL THEN 'missing: ticker' END, CASE WHEN company IS NULL THEN 'missing: company' END, CASE WHEN doc_type IS NULL THEN 'missing: doc_type' END,
+  CASE WHEN fiscal_year IS NULL THEN 'missing: fiscal_year' END, CASE WHEN quarter IS NULL THEN 'missing: quarter' END, CASE WHEN period IS NULL THEN 'missing: period' END, 'missing: filing_date', 'missing: unit_type', 'missing: unit_index', CASE WHEN text IS NULL THEN 'missing: text' END, 'missing: char_count', 'missing: word_count', 'missing: source_file', 'missing: parsed_at',
+  CASE WHEN doc_type NOT IN ('10-K', '10-Q', 'earnings_transcript') THEN 'enum: doc_type=' || doc_type END, CASE WHEN quarter NOT IN ('Q1', 'Q2', 'Q3', 'Q4', 'FY') THEN 'enum: quarter=' || quarter END, CASE WHEN doc_type IN ('10-K', '10-Q') AND section_id IS NULL THEN 'missing: section_id' END,
+  CASE WHEN doc_type = 'earnings_transcript' AND phase IS NULL THEN 'missing: phase' END, CASE WHEN doc_type = 'earnings_transcript' THEN 'missing: speaker_name' END, CASE WHEN doc_type = 'earnings_transcript' AND speaker_role IS NULL THEN 'missing: speaker_role' END, CASE WHEN doc_type = 'earnings_transcript' THEN 'missing: utterance_id' END, CASE WHEN doc_type = 'earnings_transcript' THEN 'missing: utterance_type' END], lambda x: x IS NOT NULL) AS errors FROM chunks""")
 def validate_units(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks")
     return c.select("chunk_key", records.unit_errors(c.columns).alias("errors"))
 
 
-@query()
+_PIPELINE = f"""WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id, chunk_key) AS unit FROM chunks WHERE CONDITION),
+g AS (SELECT doc_id, chunk_id, unit, text, CAST(len({_toks()}) AS BIGINT) AS n, CASE WHEN doc_type IN ('10-K', '10-Q') THEN 's:' || coalesce(section_id, 'FULL') WHEN doc_type = 'earnings_transcript' AND phase = 'prepared_remarks' THEN 'p:prepared' WHEN doc_type = 'earnings_transcript' AND phase = 'qa' AND chunk_type = 'qa_exchange' THEN 'q:' || chunk_id END AS grp FROM u),
+f AS (SELECT doc_id, grp, min(unit) AS first_unit FROM g WHERE grp IS NOT NULL GROUP BY doc_id, grp),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY unit) AS k FROM g WHERE grp IS NOT NULL AND n > 0),
+r AS (SELECT doc_id, grp, k, chunk_id, text, n, 1 AS pack, n AS c FROM k WHERE k = 1
+  UNION ALL SELECT k.doc_id, k.grp, k.k, k.chunk_id, k.text, k.n, CASE WHEN k.grp LIKE 'q:%' OR r.c + k.n < 600 OR r.c < 200 THEN r.pack ELSE r.pack + 1 END, CASE WHEN k.grp LIKE 'q:%' OR r.c + k.n < 600 OR r.c < 200 THEN r.c + k.n ELSE k.n END FROM r JOIN k ON k.doc_id = r.doc_id AND k.grp = r.grp AND k.k = r.k + 1),
+p AS (SELECT doc_id, grp, pack, list(chunk_id ORDER BY k) AS source_units, CAST(sum(n) AS BIGINT) AS n, string_agg(text, ' ' ORDER BY k) AS text FROM r GROUP BY doc_id, grp, pack),
+t AS (SELECT p.*, first_unit, {_toks('p.text')} AS w, unnest(CASE WHEN n > 800 THEN generate_series(0, CAST(ceil((n - 800) / 680.0) AS BIGINT)) ELSE [0] END) AS i FROM p JOIN f ON f.doc_id = p.doc_id AND f.grp = p.grp)
+SELECT doc_id || '_chunk_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_unit, grp, pack, i) AS VARCHAR), 4, '0') AS chunk_id, doc_id, source_units, CASE WHEN n > 800 THEN 'windowed_overlap' WHEN grp LIKE 's:%' THEN 'section_packed' WHEN grp LIKE 'p:%' THEN 'prepared_packed' ELSE 'qa_exchange' END AS chunk_type,
+  CAST(CASE WHEN n > 800 THEN least(i * 680 + 800, n) - i * 680 ELSE n END AS INTEGER) AS chunk_tokens, CAST(CASE WHEN n > 800 THEN i * 680 ELSE 0 END AS INTEGER) AS start_token, CAST(CASE WHEN n > 800 THEN least(i * 680 + 800, n) ELSE 0 END AS INTEGER) AS end_token,
+  CASE WHEN n > 800 THEN array_to_string(list_slice(w, i * 680 + 1, least(i * 680 + 800, n)), ' ') ELSE text END AS text FROM t"""
+
+
+@query(_PIPELINE.replace("CONDITION", "true"))
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """The pipeline over units: here the rows of chunks, each an own unit of its document."""
     return _unit_chunks(spark, d, "true")
@@ -400,12 +416,12 @@ def _unit_chunks(spark: SparkSession, d: str, cond: str) -> DataFrame:
     return chunking.chunk_documents(u)
 
 
-@query()
+@query(_PIPELINE.replace("CONDITION", "doc_type IN ('10-K', '10-Q')"))
 def chunk_filings(spark: SparkSession, d: str) -> DataFrame:
     return _unit_chunks(spark, d, "doc_type in ('10-K', '10-Q')")
 
 
-@query()
+@query(_PIPELINE.replace("CONDITION", "doc_type = 'earnings_transcript'"))
 def chunk_transcripts(spark: SparkSession, d: str) -> DataFrame:
     return _unit_chunks(spark, d, "doc_type = 'earnings_transcript'")
 

@@ -276,7 +276,10 @@ def split_transcript(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_key", "r.*").filter("block <> ''")
 
 
-@query()
+_ITEM = r"rtrim(regexp_replace(regexp_replace(x, '[<>&]', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ')"
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform({_SENT}, lambda x, i: i || '. ' || {_ITEM}), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL")
 def html_lists(spark: SparkSession, d: str) -> DataFrame:
     """Ordered and bulleted lists by the parser, over pages made of each document's sentences."""
     items = F.transform(text.sentences("text"), lambda s: F.concat(F.lit("<li>"), F.regexp_replace(s, "[<>&]", " "), F.lit("</li>")))
