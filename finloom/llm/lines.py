@@ -27,7 +27,7 @@ ARRAY_ROWS = 1024
 SALTS = 32
 
 # Names of months and days as they are written in dates (by first letters, which Java matches faster).
-DATES = r"(?:j(?:an(?:uary)?|une?|uly?)|feb(?:ruary)?|ma(?:r(?:ch)?|y)|a(?:pr(?:il)?|ug(?:ust)?)|s(?:ept?(?:ember)?|aturday|unday)|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|monday|t(?:ues|hurs)day|wednesday|friday)"
+DATES = r"(?:j(?:an(?:uary)?|une?|uly?)|feb(?:ruary)?|mar(?:ch)?|(?<=[^\p{L}\d]\d{1,2}[^\p{L}\d]{1,4})may|(?<=[^\p{L}](?:on|until|by|in|from|since)[^\p{L}]{1,4})may|may(?=[^\p{L}]*\d(?:(?!\p{L})|st|nd|rd|th))|a(?:pr(?:il)?|ug(?:ust)?)|s(?:ept?(?:ember)?|aturday|unday)|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|monday|t(?:ues|hurs)day|wednesday|friday)"
 _LONG_MONTHS = ("january", "february", "september", "october", "november", "december", "august", "april", "march", "june", "july")
 
 #: A line that somebody says: a label of a role or of two to four capitalised name parts, or a label with nothing but notes.
@@ -52,11 +52,17 @@ def said(line: Column) -> Column:
     return F.coalesce((marked & line.rlike(SPOKEN) & ~line.rlike(_NOTICE)) | line.rlike(_COURTEOUS), F.lit(False))
 
 
+# What stands for a month, however it is spelled: before a day and a year, and behind a preposition before a day.
+_BEFORE_YEAR = r"[^\s\u00a0]{2,10}[\s\u00a0]+\d{1,2},[\s\u00a0]+20\d\d"
+_BEFORE_DAY = r"([\s\u00a0](?:until|on|by|from|since|through|before|after|dated)[\s\u00a0]+)[^\s\u00a0\d]{2,10}[\s\u00a0]+\d{1,2}(?![\d\p{L}])"
+
+
 def line_key(line: Column) -> Column:
-    """Letters of the line in lower case, dates left out: names of months and days, and whatever stands for a month
-    before a day and a year."""
+    """Letters of the line in lower case, dates left out: names of months and days ("may" only beside a number or behind a preposition), and
+    whatever stands for a month before a day and a year or, behind a preposition, before a day."""
     low = F.concat(F.lit(" "), F.lower(line))
-    low = F.when(low.rlike(",[\\s\u00a0]+20\\d\\d"), F.regexp_replace(low, "[^\\s\u00a0]{3,9}[\\s\u00a0]+\\d{1,2},[\\s\u00a0]+20\\d\\d", " ")).otherwise(low)
+    low = F.when(low.rlike(",[\\s\u00a0]+20\\d\\d"), F.regexp_replace(low, _BEFORE_YEAR, " ")).otherwise(low)
+    low = F.regexp_replace(low, _BEFORE_DAY, "$1 ")
     return F.regexp_replace(low, rf"[^\p{{L}}]+(?:{DATES}(?:[^\p{{L}}]+|$))*", "")
 
 
@@ -100,9 +106,11 @@ def _mend_months(key: Column) -> Column:
 def _families(keys: DataFrame, least: DataFrame) -> DataFrame:
     """(src, key, centre, least): keys (src, key, n, mended) by family, the keys within one mistake of its centre.
 
-    A spelling is a centre if its family stands in ``least`` rows by the sum of the counts; one that stands once, only
+    A spelling is a centre if its family stands in ``least`` rows by the sum of the counts (a bound of the exact number); one that stands once, only
     if no spelling near it that stands more often has such a family."""
-    spelt = stored(keys.groupBy("src", "mended").agg(F.sum("n").alias("n")).withColumns({"letters": F.length("mended"), "id": F.xxhash64("src", "mended")}), "spelt")
+    # A key is spelled as it is and without what may be a mistaken month; either may be alike another's.
+    forms = keys.select("src", "key", "n", F.explode(F.filter(F.array_distinct(F.array("key", "mended")), lambda x: x != "")).alias("mended"))
+    spelt = stored(forms.groupBy("src", "mended").agg(F.sum("n").alias("n")).withColumns({"letters": F.length("mended"), "id": F.xxhash64("src", "mended")}), "spelt")
     # The length is a column of its own: inside the lambda it would be counted anew for every block. Only hashes meet.
     blocks = spelt.select("id", F.explode(_all_but_one(F.col("src"), F.col("mended"), F.col("letters"))).alias("block"))
     pairs = blocks.join(blocks.withColumnRenamed("id", "other").hint("merge"), "block").filter("id <> other").select("id", "other").distinct()
@@ -116,7 +124,7 @@ def _families(keys: DataFrame, least: DataFrame) -> DataFrame:
     often = total.filter("c > 1").select("src", F.col("centre").alias("mended"))
     beside = met.filter("c = 1").join(often, ["src", "mended"], "left_semi").select("src", "centre").distinct()
     centres = total.join(beside, ["src", "centre"], "left_anti").select("src", "centre", "least")
-    return met.join(centres, ["src", "centre"]).join(keys.select("src", "mended", "key"), ["src", "mended"]).select("src", "key", "centre", "least")
+    return met.join(centres, ["src", "centre"]).join(forms.select("src", "mended", "key"), ["src", "mended"]).select("src", "key", "centre", "least").distinct()
 
 
 def repeated_lines(docs: DataFrame, source: str = "ticker", row: str = "chunk_key", text: str = "text", least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE) -> DataFrame:

@@ -105,3 +105,9 @@ def test_many_lines_that_begin_alike(spark):
 def test_large_containers_and_two_families_in_one_row(spark):
     rows = [(i, "A", "Follow us for the news of the day\nFollow uz for the news of the day" if i % 2 else "Follow us for the news of the day") for i in range(40_000)]
     assert len(_found(spark, rows)) == 60_000
+
+
+def test_mistakes_in_months_and_in_words_like_months(spark):
+    texts = ["This transcript of Marheim may contain outlooks", "This transcript of Maoheim may contain outlooks", "This transcript of Marheim ma contain outlooks", "This transcript of Marheim 1ay contain outlooks", "This transcript of Marhei1 may contain outlooks"]
+    texts += ["A replay is there until May 3 under the code", "A replay is there until Octobel 7 under the code", "A replay is there until luly 20 under the code", "A replay is there until oay 1 under the code", "A replay is there until June 9 under the code"]
+    assert _found(spark, [(i, "A", x) for i, x in enumerate(texts[:5] * 2 + texts[5:] * 2)]) == {(i, 1) for i in range(20)}
