@@ -14,6 +14,8 @@ blocks of their letters, so what meets is nearly always alike, however many line
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,9 @@ ARRAY_ROWS = 1024
 SALTS = 32
 
 # Names of months and days as they are written in dates (by first letters, which Java matches faster).
-DATES = r"(?:j(?:an(?:uary)?|une?|uly?)|feb(?:ruary)?|mar(?:ch)?|(?<=[^\p{L}\d]\d{1,2}[^\p{L}\d]{1,4})may|(?<=[^\p{L}](?:on|until|by|in|from|since)[^\p{L}]{1,4})may|may(?=[^\p{L}]*\d(?:(?!\p{L})|st|nd|rd|th))|a(?:pr(?:il)?|ug(?:ust)?)|s(?:ept?(?:ember)?|aturday|unday)|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|monday|t(?:ues|hurs)day|wednesday|friday)"
+#: "may" is a month only beside a number or behind a preposition; the literal stands first, for it is seldom there.
+_MAY = r"y(?:(?<=[^\p{L}\d]\d{1,2}[^\p{L}\d]{1,4}may)|(?<=[^\p{L}](?:on|until|by|in|from|since)[^\p{L}]{1,4}may)|(?=[^\p{L}]*\d(?:(?!\p{L})|st|nd|rd|th)))"
+DATES = rf"(?:j(?:an(?:uary)?|une?|uly?)|feb(?:ruary)?|ma(?:r(?:ch)?|{_MAY})|a(?:pr(?:il)?|ug(?:ust)?)|s(?:ept?(?:ember)?|aturday|unday)|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?|monday|t(?:ues|hurs)day|wednesday|friday)"
 _LONG_MONTHS = ("january", "february", "september", "october", "november", "december", "august", "april", "march", "june", "july")
 
 #: A line that somebody says: a label of a role or of two to four capitalised name parts, or a label with nothing but notes.
@@ -52,18 +56,22 @@ def said(line: Column) -> Column:
     return F.coalesce((marked & line.rlike(SPOKEN) & ~line.rlike(_NOTICE)) | line.rlike(_COURTEOUS), F.lit(False))
 
 
-# What stands for a month, however it is spelled: before a day and a year, and behind a preposition before a day.
+# What stands for a month, however it is spelled: before a day and a year, and behind a word of a term before a day.
 _BEFORE_YEAR = r"[^\s\u00a0]{2,10}[\s\u00a0]+\d{1,2},[\s\u00a0]+20\d\d"
-_BEFORE_DAY = r"([\s\u00a0](?:until|on|by|from|since|through|before|after|dated)[\s\u00a0]+)[^\s\u00a0\d]{2,10}[\s\u00a0]+\d{1,2}(?![\d\p{L}])"
+_UNTIL = ("until", "through", "since", "dated")
+_BEFORE_DAY = rf"([\s\u00a0](?:{'|'.join(_UNTIL)})[\s\u00a0]+)[^\s\u00a0\d]{{2,10}}[\s\u00a0]+\d{{1,2}}(?![\d\p{{L}}])"
 
 
-def line_key(line: Column) -> Column:
-    """Letters of the line in lower case, dates left out: names of months and days ("may" only beside a number or behind a preposition), and
-    whatever stands for a month before a day and a year or, behind a preposition, before a day."""
-    low = F.concat(F.lit(" "), F.lower(line))
-    low = F.when(low.rlike(",[\\s\u00a0]+20\\d\\d"), F.regexp_replace(low, _BEFORE_YEAR, " ")).otherwise(low)
-    low = F.regexp_replace(low, _BEFORE_DAY, "$1 ")
-    return F.regexp_replace(low, rf"[^\p{{L}}]+(?:{DATES}(?:[^\p{{L}}]+|$))*", "")
+def with_keys(lines: DataFrame, line: str = "line") -> DataFrame:
+    """``lines`` with ``key``: the line's letters in lower case, dates left out: names of months and days ("may" only
+    beside a number or behind a preposition), and whatever stands for a month before a day and a year or, behind a word
+    such as until, before a day. Step by step, so that no step's expression is computed twice."""
+    rows = lines.withColumn("_low", F.concat(F.lit(" "), F.lower(line)))
+    rows = rows.withColumn("_low", F.when(F.col("_low").rlike(",[\\s\u00a0]+20\\d\\d"), F.regexp_replace("_low", _BEFORE_YEAR, " ")).otherwise(F.col("_low")))
+    # Looking for the words first is much cheaper than the pattern.
+    term = reduce(lambda a, b: a | b, [F.contains("_low", F.lit(w)) for w in _UNTIL])
+    rows = rows.withColumn("_low", F.when(term, F.regexp_replace("_low", _BEFORE_DAY, "$1 ")).otherwise(F.col("_low")))
+    return rows.withColumn("key", F.regexp_replace("_low", rf"[^\p{{L}}]+(?:{DATES}(?:[^\p{{L}}]+|$))*", "")).drop("_low")
 
 
 def _halves(source: Column, key: Column) -> Column:
@@ -144,7 +152,8 @@ def repeated_lines(docs: DataFrame, source: str = "ticker", row: str = "chunk_ke
     least = small(stored(least, "least"))
     # The keys of all lines are computed once and kept.
     # Outer explodes: for inner ones the optimizer infers filters that compute what is exploded a second time.
-    lines = base.select("src", "rid", F.posexplode_outer(F.split("txt", "\n")).alias("i", "line")).select("src", "rid", "i", said(F.col("line")).alias("said"), line_key(F.col("line")).alias("key"))
+    lines = base.select("src", "rid", F.posexplode_outer(F.split("txt", "\n")).alias("i", "line"))
+    lines = with_keys(lines.withColumn("said", said(F.col("line")))).select("src", "rid", "i", "said", "key")
     # Filtered behind the table: before it, the filter would compute every key a second time.
     lines = stored(lines, "keys").filter((F.length("key") > 0) & ~F.col("said")).select("src", "rid", "i", "key")
 
