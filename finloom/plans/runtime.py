@@ -99,12 +99,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _WRITTEN[-1]
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``stored`` has written and the files of queries; results that still read them must have been written before."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    while _WRITTEN:
-        path = hadoop.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, indexes: bool = False) -> None:
+    """Delete the tables that ``stored`` has written and the files of queries; results that still read them must have
+    been written before. With ``indexes`` also those that were kept for further queries."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = [_WRITTEN.pop() for _ in range(len(_WRITTEN))]
+    if indexes:
+        gone += _KEPT.values()
+        _KEPT.clear()
+    for path in map(hadoop.Path, gone):
+        path.getFileSystem(conf).delete(path, True)
 
 
 _KEPT: dict[tuple[str, str], str] = {}

@@ -72,3 +72,15 @@ def test_porter_like_fts5(spark):
     assert len(wrong) <= 0.01 * len(words), dict(list(wrong.items())[:10])
     got = spark.createDataFrame([(["revenues", "revenue"],), (None,)], "t array<string>").select(stems("t")).collect()
     assert got[0][0][0] == got[0][0][1] and got[1][0] is None
+
+
+def test_indexes_are_built_once_and_released(spark):
+    from finloom.plans.runtime import kept, release
+
+    built = []
+    build = lambda path: (built.append(path), spark.range(3).write.parquet(f"{path}/t"))
+    assert kept(spark, "x", build) == kept(spark, "x", build) and len(built) == 1
+    release(spark)
+    assert spark.read.parquet(f"{kept(spark, 'x', build)}/t").count() == 3 and len(built) == 1
+    release(spark, indexes=True)
+    assert spark.read.parquet(f"{kept(spark, 'x', build)}/t").count() == 3 and len(built) == 2
