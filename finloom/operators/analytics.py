@@ -15,7 +15,8 @@ def sentiment(text: str | Column, head: int | None = None) -> Column:
     """struct<label, score> of a text by counted words: score = |p - n| / (p + n), label by the majority; neutral with 0
     where neither or both equally occur. The whole text counts; ``head`` bounds it to so many characters, as a plugged-in
     model may need. The stand-in for a model."""
-    col = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    col = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    col = F.lower(F.replace(col, F.lit("İ"), F.lit("i")))  # else lower() makes it an i and a mark, which ends the word
     col = col if head is None else F.substring(col, 1, head)
     words = F.split(col, "[^a-z-]+")
     count = lambda vocab: F.size(F.filter(words, lambda w: w.isin(vocab)))

@@ -21,3 +21,19 @@ def test_no_cap_below_the_rows_asked_for(spark):
     e = Engine(chunks)
     assert e.retrieve(q, 50).count() == 50 and e.lexical(q, e.config.fetch(120)).count() == 120 and e.search(q, 120).count() == 120
     assert [e.config.fetch(k) for k in (5, 10, 34, 120)] == [15, 30, 100, 120]
+
+
+def test_sentiment_label_like_its_sql_on_odd_short_texts(spark, tmp_path):
+    import duckdb
+    from compare import both, connect
+
+    from finloom import catalog
+
+    # Up to the 2,000 characters that the SQL reads; the dotted capital I is one letter, not an i and a mark.
+    texts = [None, "", " \n", "GAİN", "RİSK İ loss", "ris\u212a", "Write-Down -gain gain1loss", "égain gaiń", "İ" * 1994 + " gain"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    _, mine, theirs = both(spark, connect(str(tmp_path)), str(tmp_path), catalog.QUERIES["sentiment_label"], catalog.SQL["sentiment_label"])
+    assert mine == theirs and (3, "positive", 1.0) in mine and (4, "negative", 1.0) in mine
